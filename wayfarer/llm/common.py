@@ -57,6 +57,18 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+_zstd = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(texts: list[bytes]) -> list[bytes]:
+    """Each text compressed by itself, behind its length; smaller in a shuffle than what Spark's own codec makes of it."""
+    return [len(x).to_bytes(8, "little") + _zstd.compress(x, asbytes=True) for x in texts]
+
+
+def unsqueezed(column: pa.Array) -> list[bytes]:
+    return [_zstd.decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), asbytes=True) for x in column.to_pylist()]
+
+
 def rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 

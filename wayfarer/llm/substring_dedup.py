@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, partitions, rows, stored, table, utf8
+from .common import in_blocks, partitions, rows, squeezed, stored, table, unsqueezed, utf8
 from .shingles import mix, sliding, window_hashes, word_hashes
 
 WINDOW = 20
@@ -136,13 +136,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def meet(answers: DataFrame, wanted: DataFrame) -> DataFrame:
         """Answers (kind 0) and documents (kind 1) of each bucket together, answers first."""
-        told = answers.select("bucket", F.lit(0).alias("kind"), "packed", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"))
+        told = answers.select("bucket", F.lit(0).alias("kind"), "packed", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("text"))
         return told.unionByName(wanted.select("bucket", F.lit(1).alias("kind"), "packed", "doc", "text")).repartition(shuffle, "bucket").sortWithinPartitions("bucket", "kind")
 
     def met(batches, kind: np.dtype):
         """(bucket, its answers, a batch of its documents)"""
         now, parts, answers = None, [], None
-        for batch in in_blocks(batches, "text", BLOCK_BYTES):
+        for batch in in_blocks(batches, "text", BLOCK_BYTES // 2):  # compressed texts
             bucket, kinds = batch.column("bucket").to_numpy(), batch.column("kind").to_numpy()
             cuts = np.flatnonzero(np.diff(bucket.astype(np.int64) * 2 + kinds, prepend=-1)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
@@ -159,13 +159,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         kept = b" ".join(words)
         return hashlib.sha256(kept).hexdigest() if digest else kept.decode()
 
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    ddl = "bucket int, kind int, packed binary, doc long, text string, n_words long, n_removed long, kept string"
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    ddl = "bucket int, kind int, packed binary, doc long, text binary, n_words long, n_removed long, kept string"
 
     def extend(batches):
         """Full windows whose half survived (kind 0), and documents: done (kind 2), or with the places of those windows (kind 1)."""
         for bucket, survivors, batch in met(batches, _HASH):
-            data, ids = utf8(batch.column("text")), batch.column("doc").to_numpy()
+            small = batch.column("text").to_pylist()
+            data, ids = unsqueezed(batch.column("text")), batch.column("doc").to_numpy()
             words, bounds = word_hashes(data)
             halves, least, valid = anchors(words, bounds, window)
             at = np.flatnonzero(valid & np.isin(least, survivors)) if len(survivors) else np.zeros(0, np.int64)
@@ -187,7 +188,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     cut = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
                     runs[i] = np.stack([starts[cut], np.diff(np.append(cut, n))], axis=1).astype("<u4").tobytes()
             done = [r is None for r in runs]
-            yield rows(schema, {"bucket": [bucket] * len(data), "kind": [2 if d else 1 for d in done], "packed": runs, "doc": ids, "text": [None if d else x.decode() for d, x in zip(done, data)], "n_words": np.diff(bounds), "n_removed": [0] * len(data), "kept": [finish(x.split()) if d else None for d, x in zip(done, data)]})
+            yield rows(schema, {"bucket": [bucket] * len(data), "kind": [2 if d else 1 for d in done], "packed": runs, "doc": ids, "text": [None if d else x for d, x in zip(done, small)], "n_words": np.diff(bounds), "n_removed": [0] * len(data), "kept": [finish(x.split()) if d else None for d, x in zip(done, data)]})
 
     def firsts(batches):
         for _, places in grouped(batches, _PLACE):
@@ -204,7 +205,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if first is not last:
                 last, first_sorted = first, first[np.argsort(first["doc"], kind="stable")]
             out = {f.name: [] for f in result}
-            for doc, packed, text in zip(batch.column("doc").to_pylist(), batch.column("packed").to_pylist(), utf8(batch.column("text"))):
+            for doc, packed, text in zip(batch.column("doc").to_pylist(), batch.column("packed").to_pylist(), unsqueezed(batch.column("text"))):
                 runs = np.frombuffer(packed, "<u4").reshape(-1, 2).astype(np.int64)
                 starts = np.repeat(runs[:, 0] - np.cumsum(runs[:, 1]) + runs[:, 1], runs[:, 1]) + np.arange(runs[:, 1].sum())
                 a, b = np.searchsorted(first_sorted["doc"], [doc, doc], side="left")[0], np.searchsorted(first_sorted["doc"], doc, side="right")
@@ -222,7 +223,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     message = "bucket int, kind int, packed binary"
     deal = lambda df: df.select("bucket", "kind", "packed").repartition(shuffle, "bucket").sortWithinPartitions("bucket")
     answers = deal(texts.mapInArrow(ask, message)).mapInArrow(survive, message)
-    bucketed = texts.select(F.lit(None).cast("binary").alias("packed"), "doc", "text").mapInArrow(_with_bucket(buckets), "bucket int, packed binary, doc long, text string")
+    bucketed = texts.mapInArrow(_with_bucket(buckets), "bucket int, packed binary, doc long, text binary")
     state = stored(meet(answers, bucketed).mapInArrow(extend, ddl), "passages")
     told = deal(state.filter("kind = 0")).mapInArrow(firsts, message)
     changed = meet(told, state.filter("kind = 1").select("bucket", "packed", "doc", "text")).mapInArrow(remove, "doc long, n_words long, n_removed long, kept string")
@@ -232,9 +233,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _with_bucket(buckets: int):
     def add(batches):
-        for batch in batches:
+        for batch in in_blocks(batches, "text"):
             bucket = doc_bucket(batch.column("doc").to_numpy(), buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), *(batch.column(c) for c in ("packed", "doc", "text"))], names=["bucket", "packed", "doc", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.nulls(len(batch), pa.binary()), batch.column("doc"), pa.array(squeezed(utf8(batch.column("text"))), pa.binary())], names=["bucket", "packed", "doc", "text"])
 
     return add
 
