@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, packing, substring_dedup, token_counts, token_files
+from . import decontamination, exact_dedup, language_id, packing, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": token_counts.op4,
     "op5_token_files": token_files.op5,
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_language_bitmasks": language_id.op7,
     "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLE_SQL = {
