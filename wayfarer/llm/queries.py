@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, packing, substring_dedup, token_counts, token_files
+from . import decontamination, exact_dedup, language_id, ngram_join, packing, substring_dedup, token_counts, token_files
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_files": token_files.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_language_bitmasks": language_id.op7,
+    "op9_ngram_jaccard_join": ngram_join.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLE_SQL = {
