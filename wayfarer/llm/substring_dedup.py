@@ -32,6 +32,8 @@ from .shingles import mix, sliding, window_hashes, word_hashes
 WINDOW = 20
 NO_ID = -(2**63)
 BLOCK_BYTES = 1_500_000
+#: Answers that a task gathers before it sends them on.
+MOST_HELD = 1_000_000
 _ASK = np.dtype([("hash", "<u8"), ("doc", "<i8")])
 _PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
 _FIRST = np.dtype([("doc", "<i8"), ("start", "<u4")])
@@ -106,11 +108,20 @@ def questions(words, bounds, docs: np.ndarray, window: int) -> tuple[np.ndarray,
     return entries[np.insert(~same, 0, True)], known
 
 
+def answers_of(found: list) -> pa.RecordBatch:
+    """Each hash once for each bucket it goes to."""
+    hashes, to = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((hashes, to))
+    hashes, to = hashes[order], to[order]
+    once = np.insert((hashes[1:] != hashes[:-1]) | (to[1:] != to[:-1]), 0, True)[: len(hashes)]
+    return packed_rows(hashes[once], to[once])
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, digest: bool = False) -> DataFrame:
     """id, n_words, n_removed and kept of every row: the words that stay, joined by one space, or with digest their SHA-256."""
     spark = docs.sparkSession
     shuffle = partitions(spark)
-    buckets = 4 * shuffle
+    buckets = 2 * shuffle
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
 
     def ask(batches):
@@ -124,15 +135,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def survive(batches):
         """Hashes that two blocks hold, for the bucket of each document that asked."""
+        found: list = []  # (hashes, the buckets they go to), of several buckets, so that rows follow the tasks
         for bucket, entries in grouped(batches, _ASK):
             if bucket is not None:
-                yield packed_rows(np.unique(np.frombuffer(entries, _HASH)), np.full(len(np.unique(np.frombuffer(entries, _HASH))), bucket))
-                continue
-            entries = entries[np.argsort(entries["hash"], kind="stable")]
-            same = entries["hash"][1:] == entries["hash"][:-1]
-            kept = entries[np.append(same, False) | np.insert(same, 0, False)]
-            if len(kept):
-                yield packed_rows(kept["hash"], doc_bucket(kept["doc"], buckets))
+                hashes = np.frombuffer(entries, _HASH)
+                found.append((hashes, np.full(len(hashes), bucket, np.int64)))
+            else:
+                entries = entries[np.argsort(entries["hash"], kind="stable")]
+                same = entries["hash"][1:] == entries["hash"][:-1]
+                kept = entries[np.append(same, False) | np.insert(same, 0, False)]
+                found.append((kept["hash"], doc_bucket(kept["doc"], buckets)))
+            if sum(len(x) for x, _ in found) > MOST_HELD:
+                yield answers_of(found)
+                found = []
+        if found:
+            yield answers_of(found)
 
     def meet(answers: DataFrame, wanted: DataFrame) -> DataFrame:
         """Answers (kind 0) and documents (kind 1) of each bucket together, answers first."""
@@ -191,10 +208,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield rows(schema, {"bucket": [bucket] * len(data), "kind": [2 if d else 1 for d in done], "packed": runs, "doc": ids, "text": [None if d else x for d, x in zip(done, small)], "n_words": np.diff(bounds), "n_removed": [0] * len(data), "kept": [finish(x.split()) if d else None for d, x in zip(done, data)]})
 
     def firsts(batches):
+        held: list = []
         for _, places in grouped(batches, _PLACE):
             places = first_rows(places, "hash", "doc", "start")
             found = np.empty(len(places), _FIRST)
             found["doc"], found["start"] = places["doc"], places["start"]
+            held.append(found)
+            if sum(map(len, held)) > MOST_HELD:
+                found, held = np.concatenate(held), []
+                yield packed_rows(found, doc_bucket(found["doc"], buckets))
+        if held:
+            found = np.concatenate(held)
             yield packed_rows(found, doc_bucket(found["doc"], buckets))
 
     result = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
