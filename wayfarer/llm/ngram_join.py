@@ -15,6 +15,8 @@ those with many give pairs with one class of theirs. Candidates are verified on
 two rounds: first one partner for each class, then only pairs that still lie in different
 components, among them all such pairs of the large entries. Linking within a component
 changes nothing, so the components are exact without the pairs of a large group of copies.
+A sketch of parities, which bounds from below in how many tokens two sets differ, drops most
+pairs that cannot link before any text is fetched.
 
 Defined results: null and texts without words have an empty set and link with nothing. A text
 of fewer than four words has one shingle, the whole of it. Rows that share an id are sets of
@@ -39,6 +41,7 @@ NO_ID = -(2**63)
 MOST_FREQUENT, LEAST_COUNT = 500_000, 32
 FEW = 8
 BLOCK_BYTES = 1_500_000
+SKETCH_BITS = 1024
 _ENTRY = np.dtype([("sig", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("hot", "<u4")])
 _COUNT = np.dtype([("token", "<u8"), ("n", "<i8")])
 
@@ -87,6 +90,20 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) ->
     return np.unique(np.concatenate(out)), True
 
 
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """SKETCH_BITS parities of each set: every token flips one. Two sets differ in at least as many tokens as their sketches differ in bits."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(30)).astype(np.int64) % SKETCH_BITS
+    odd = np.bincount(owner * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS).reshape(len(sets), SKETCH_BITS) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+
+
+def may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m tokens with sketches a and b (as words of 64 bits) can link: their sizes allow it, and their difference isn't shown to be too large."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
@@ -124,14 +141,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     message = "bucket int, packed binary"
     deal = lambda df: df.repartition(shuffle, "bucket").sortWithinPartitions("bucket")
-    first = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64())])
+    first = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
 
     def describe(batches):
         """A row per document, and counts of the tokens that a block's classes share."""
         for batch in in_blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(utf8(batch.column("text")), k)
             names = [class_of(s) if len(s) else None for s in sets]
-            yield rows(first, {"bucket": [None] * len(sets), "packed": [None] * len(sets), "doc": batch.column("doc").to_pylist(), "n": list(map(len, sets)), "cls": names})
+            yield rows(first, {"bucket": [None] * len(sets), "packed": [None] * len(sets), "doc": batch.column("doc").to_pylist(), "n": list(map(len, sets)), "cls": names, "sketch": sketches(sets)})
             tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *dict(zip(names, sets)).values()]), return_counts=True)
             if (n > 1).any():
                 entries = np.empty(int((n > 1).sum()), _COUNT)
@@ -146,8 +163,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             n = np.bincount(at, weights=entries["n"]).astype(np.int64)
             yield rows(schema, {"token": tokens[n >= LEAST_COUNT].view(np.int64), "n": n[n >= LEAST_COUNT]})
 
-    described = stored(texts.mapInArrow(describe, "bucket int, packed binary, doc long, n long, cls long"), "shingle-sets")
+    described = stored(texts.mapInArrow(describe, "bucket int, packed binary, doc long, n long, cls long, sketch binary"), "shingle-sets")
     members = described.filter("bucket is null").select("doc", "n", "cls")
+    classes = described.filter("cls is not null").select("cls", "n", "sketch")
     counts = deal(described.filter("bucket is not null").select("bucket", "packed")).mapInArrow(total, "token long, n long")
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))  # at most 8 x MOST_FREQUENT bytes
@@ -206,7 +224,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield rows(pair, {"a": [None] * len(runs), "b": [None] * len(runs), "run": list(runs.values())})
 
     found = stored(deal(texts.mapInArrow(index, message)).mapInArrow(candidates, "a long, b long, run binary"), "candidates")
-    pairs = stored(found.filter("run is null").select("a", "b").distinct(), "pairs")
+
+    def plausible(batches):
+        for batch in batches:
+            if len(batch):
+                n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(batch), -1) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, x, y, percent)))
+
     runs = found.filter("run is not null").select("run").distinct().withColumn("id", F.xxhash64("run"))
 
     def open_run(batches):
@@ -216,8 +241,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 x = np.frombuffer(run, "<i8").reshape(-1, 2)
                 yield rows(schema, {"id": [name] * len(x), "cls": x[:, 0], "n": x[:, 1]})
 
+    opened = stored(runs.mapInArrow(open_run, "id long, cls long, n long"), "large-entries")
+    wanted = found.filter("run is null").select("a", "b").distinct()
+    touched = wanted.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(opened.select("cls")).distinct()
+    sketched = stored(classes.dropDuplicates(["cls"]).join(touched, "cls", "left_semi"), "sketches")
+    for c in "ab":
+        wanted = wanted.join(sketched.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c)
+    pairs = stored(wanted.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(plausible, "a long, b long"), "pairs")
     # whole texts of the classes that have a candidate, one document each
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(opened.select("cls")).distinct()
     chosen = members.filter("cls is not null").groupBy("cls").agg(F.min("doc").alias("doc")).join(wanted, "cls", "left_semi")
 
     def pick(batches):
@@ -257,15 +289,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def of(part):
-            cls, n, group = part
+            cls, n, group, sketch = part
             for i in range(len(cls) - 1):
-                j = np.flatnonzero((group[i + 1 :] != group[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))) + i + 1
+                j = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+                j = j[may_link(n[j], n[i], sketch[j], sketch[i], percent)] if len(j) else j
                 if len(j):
                     yield rows(schema, {"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
 
         now, parts = None, []
         for batch in batches:
             x = [batch.column(c).to_numpy() for c in ("id", "cls", "n", "root")]
+            x.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(len(batch), -1))
             cuts = np.flatnonzero(np.insert(x[0][1:] != x[0][:-1], 0, True)).tolist() if len(batch) else []
             for a, b in zip(cuts, [*cuts[1:], len(batch)]):
                 if x[0][a] != now and parts:
@@ -276,10 +310,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if parts:
             yield from of([np.concatenate(y) for y in zip(*parts)])
 
-    named = runs.mapInArrow(open_run, "id long, cls long, n long").join(root("cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root"))
-    named = stored(named, "large-entries")
+    named = stored(opened.join(root("cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root")), "named-entries")
     torn = named.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("id")
-    cross = named.join(torn, "id", "left_semi").repartition(shuffle, "id").sortWithinPartitions("id").mapInArrow(across, "a long, b long")
+    cross = named.join(torn, "id", "left_semi").join(sketched.select("cls", "sketch"), "cls").repartition(shuffle, "id").sortWithinPartitions("id").mapInArrow(across, "a long, b long")
     rest = pairs.unionByName(cross).join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
     rest = rest.filter("root_a <> root_b").select("a", "b").distinct()
     rest = rest.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")  # seen in the first round
