@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, language_id, ngram_join, packing, substring_dedup, token_counts, token_files, warc
+from . import decontamination, exact_dedup, language_id, ngram_join, packing, pii, substring_dedup, token_counts, token_files, warc
 
 QUERIES = {
+    "op1_skip_chain_pii": pii.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_benchmark_decontamination": decontamination.op3,
     "op4_token_counts": token_counts.op4,
