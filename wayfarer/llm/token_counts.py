@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from itertools import chain
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,13 +84,17 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in in_blocks(batches, "text"):
             data = utf8(batch.column("text"))
             split, special = frequencies(data, vocabulary)
-            n, rare = [], []
+            n, rare, times, ends = [], [], [], [0]
             for x, s in zip(split, special):
                 freq = Counter(x)
-                left = freq.keys() - table.keys()
-                n.append(s + sum(k * table[p] for p, k in freq.items() if p in table))
-                rare.append([{"piece": p, "n": freq[p]} for p in left])
-            yield rows(schema, {"id": batch.column("id").to_pylist(), "row": [0] * len(data), "n_bytes": list(map(len, data)), "n_tokens": n, "rare": rare})
+                left = [p for p in freq if p not in table]
+                rare += left
+                times += [freq.pop(p) for p in left]
+                ends.append(len(rare))
+                n.append(s + sum(map(mul, freq.values(), map(table.__getitem__, freq))))
+            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.string()), pa.array(times, pa.int64())], names=["piece", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            yield rows(schema, {"id": batch.column("id"), "row": [0] * len(data), "n_bytes": list(map(len, data)), "n_tokens": n, "rare": lists})
 
     marked = texts.mapInArrow(join, "id long, row long, n_bytes long, n_tokens long, rare array<struct<piece:string,n:long>>")
     marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "token-joins")
