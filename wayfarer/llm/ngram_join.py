@@ -12,8 +12,8 @@ two are indexed for both sides), which keeps the pairs in proportion to the pref
 
 Equal sets are one class from the start. Entries of the index with few classes give all pairs;
 those with many give pairs with one class of theirs. Candidates are verified on whole sets in
-two rounds: first one partner for each class, then only pairs that still lie in different
-components, among them all such pairs of the large entries. Linking within a component
+three rounds: first one partner for each class, then the other pairs that still lie in
+different components, then all such pairs of the large entries. Linking within a component
 changes nothing, so the components are exact without the pairs of a large group of copies.
 A sketch of parities, which bounds from below in how many tokens two sets differ, drops most
 pairs that cannot link before any text is fetched.
@@ -281,8 +281,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         some = some.join(whole.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         return some.join(whole.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb").mapInArrow(check, "u long, v long")
 
-    one = components(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")))
-    root = lambda c: one.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    def edges(found: DataFrame) -> DataFrame:
+        return found.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+    def root(found: DataFrame, c: str) -> DataFrame:
+        return found.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+
+    def apart(some: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
+        """Pairs in different components that were not verified yet."""
+        some = some.join(root(found, "a"), "a", "left").join(root(found, "b"), "b", "left")
+        return some.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+
+    first_pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    one = components(verified(first_pairs))
+    two = components(edges(one).unionByName(verified(stored(apart(pairs, one, first_pairs), "pairs-apart"))))
 
     def across(batches):
         """Pairs of classes of one large entry that lie in different components."""
@@ -310,13 +322,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if parts:
             yield from of([np.concatenate(y) for y in zip(*parts)])
 
-    named = stored(opened.join(root("cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root")), "named-entries")
+    named = stored(opened.join(root(two, "cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root")), "named-entries")
     torn = named.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("id")
     cross = named.join(torn, "id", "left_semi").join(sketched.select("cls", "sketch"), "cls").repartition(shuffle, "id").sortWithinPartitions("id").mapInArrow(across, "a long, b long")
-    rest = pairs.unionByName(cross).join(root("a"), "a", "left").join(root("b"), "b", "left").withColumns({f"root_{c}": F.coalesce(f"root_{c}", c) for c in "ab"})
-    rest = rest.filter("root_a <> root_b").select("a", "b").distinct()
-    rest = rest.join(pairs.groupBy("b").agg(F.min("a").alias("a")), ["a", "b"], "left_anti")  # seen in the first round
-    links = one.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(stored(rest, "pairs-across")))
+    links = edges(two).unionByName(verified(stored(apart(cross, two, pairs), "pairs-across")))
     roots = components(links)
     placed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = stored(placed.select("doc", "n", "root"), "placed")
