@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from wayfarer.llm import decontamination, exact_dedup, language_id, ngram_join, packing, pii, substring_dedup, token_counts, token_files, tokenization, warc
+from wayfarer.llm import components, decontamination, exact_dedup, language_id, ngram_join, packing, pii, substring_dedup, token_counts, token_files, tokenization, warc
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = [f"w{i}" for i in range(400)] + ["über", "Été", "don't", "x.y", "Z"]
@@ -81,6 +81,8 @@ def test_passages(docs, empty):
 @pytest.mark.parametrize(("k", "percent", "least"), [(4, 85, 32), (5, 80, 2)])
 def test_jaccard(docs, empty, monkeypatch, k, percent, least):
     monkeypatch.setattr(ngram_join, "LEAST_COUNT", least)
+    monkeypatch.setattr(components, "ONE_TASK", 0 if least == 2 else components.ONE_TASK)
+    monkeypatch.setattr(ngram_join, "FEW", 2 if least == 2 else ngram_join.FEW)
     sets = {}
     for i, t in zip(IDS, TEXTS):
         w = words((t or "").translate(LOWER))

@@ -13,9 +13,10 @@ two are indexed for both sides), which keeps the pairs in proportion to the pref
 Equal sets are one class from the start. Entries of the index with few classes give all pairs;
 those with many give pairs with one class of theirs. Candidates are verified on whole sets in
 three rounds: first one partner for each class, then the other pairs that still lie in
-different components, then all such pairs of the large entries. Linking within a component
+different components, then such pairs of the large entries: of each entry first those that
+would connect something new, then all that are left. Linking within a component
 changes nothing, so the components are exact without the pairs of a large group of copies.
-A sketch of parities, which bounds from below in how many tokens two sets differ, drops most
+A sketch of parities as long as the set asks for, which bounds from below in how many tokens two sets differ, drops most
 pairs that cannot link before any text is fetched.
 
 Defined results: null and texts without words have an empty set and link with nothing. A text
@@ -41,7 +42,7 @@ NO_ID = -(2**63)
 MOST_FREQUENT, LEAST_COUNT = 500_000, 32
 FEW = 8
 BLOCK_BYTES = 1_500_000
-SKETCH_BITS = 1024
+LEAST_BITS, BITS_PER_TOKEN = 256, 4
 _ENTRY = np.dtype([("sig", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("hot", "<u4")])
 _COUNT = np.dtype([("token", "<u8"), ("n", "<i8")])
 
@@ -91,17 +92,44 @@ def prefix_signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) ->
 
 
 def sketches(sets: list[np.ndarray]) -> list[bytes]:
-    """SKETCH_BITS parities of each set: every token flips one. Two sets differ in at least as many tokens as their sketches differ in bits."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(30)).astype(np.int64) % SKETCH_BITS
-    odd = np.bincount(owner * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS).reshape(len(sets), SKETCH_BITS) & 1
-    return [x.tobytes() for x in np.packbits(odd.astype(np.uint8), axis=1)]
+    """Parities of each set: every token flips one bit. Two sets differ in at least as many tokens as their sketches differ in bits.
+
+    The bits are a power of two in proportion to the set, so long texts are told apart as well as short ones.
+    """
+    out = [b""] * len(sets)
+    bits = [max(LEAST_BITS, 1 << (BITS_PER_TOKEN * len(s) - 1).bit_length()) if len(s) else 0 for s in sets]
+    for size in sorted({*bits} - {0}):
+        at = [i for i, x in enumerate(bits) if x == size]
+        owner = np.repeat(np.arange(len(at)), [len(sets[i]) for i in at])
+        bit = (np.concatenate([sets[i] for i in at]) >> np.uint64(30)).astype(np.int64) & (size - 1)
+        odd = np.bincount(owner * size + bit, minlength=len(at) * size).reshape(len(at), size) & 1
+        for i, x in zip(at, np.packbits(odd.astype(np.uint8), axis=1)):
+            out[i] = x.tobytes()
+    return out
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as sets have them that take fewer words: the parities of the halves add up."""
+    while sketch.shape[-1] > words:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def as_words(found: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(found), "<u8").reshape(len(found), -1)
+
+
+def fits(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes of two sets allow a link."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
 def may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of n and m tokens with sketches a and b (as words of 64 bits) can link: their sizes allow it, and their difference isn't shown to be too large."""
+    """Whether sets of n and m tokens with sketches a and b of one length can link: their sizes allow it, and their difference isn't shown to be too large."""
     apart = np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64)
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+    return fits(n, m, percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -212,8 +240,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
             x, y = entries["n"][i].astype(np.int64), entries["n"][j].astype(np.int64)
-            fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            a, b = entries["cls"][i][fits], entries["cls"][j][fits]
+            fit = fits(x, y, percent)
+            a, b = entries["cls"][i][fit], entries["cls"][j][fit]
             a, b = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -227,10 +255,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def plausible(batches):
         for batch in batches:
-            if len(batch):
-                n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(len(batch), -1) for c in ("sa", "sb"))
-                yield batch.select(["a", "b"]).filter(pa.array(may_link(n, m, x, y, percent)))
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            x, y = (np.array(batch.column(c).to_pylist(), object) for c in ("sa", "sb"))
+            sizes = np.array([(len(p), len(q)) for p, q in zip(x, y)], np.int64).reshape(-1, 2)
+            keep = np.zeros(len(batch), bool)
+            for p, q in np.unique(sizes, axis=0).tolist():
+                at = np.flatnonzero((sizes == (p, q)).all(axis=1))
+                least = min(p, q) // 8
+                keep[at] = may_link(n[at], m[at], folded(as_words(x[at].tolist()), least), folded(as_words(y[at].tolist()), least), percent)
+            if keep.any():
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     runs = found.filter("run is not null").select("run").distinct().withColumn("id", F.xxhash64("run"))
 
@@ -296,37 +330,74 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     one = components(verified(first_pairs))
     two = components(edges(one).unionByName(verified(stored(apart(pairs, one, first_pairs), "pairs-apart"))))
 
-    def across(batches):
-        """Pairs of classes of one large entry that lie in different components."""
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def of(part):
-            cls, n, group, sketch = part
-            for i in range(len(cls) - 1):
-                j = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-                j = j[may_link(n[j], n[i], sketch[j], sketch[i], percent)] if len(j) else j
-                if len(j):
-                    yield rows(schema, {"a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
+    def across(batches, forest):
+        """Pairs of classes of one large entry that lie in different components; of the entries that two classes share, the least gives the pair. forest: each entry gives only pairs that would connect what none of its earlier pairs does."""
+        schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+        def of(name, cls, n, group, sketch, before):
+            order = np.argsort(n, kind="stable")
+            cls, n, group, sketch, before = cls[order], n[order], group[order].copy(), sketch[order], before[order]
+            length = np.fromiter(map(len, sketch), np.int64, len(sketch))
+            for size in np.unique(length).tolist():
+                # sets of this length of sketch against those of the same and of twice the length, which follow them
+                start, middle, end = np.searchsorted(length, [size, size + 1, 2 * size + 1]).tolist()
+                bits = as_words(sketch[start:middle].tolist())
+                if end > middle:
+                    bits = np.concatenate([bits, *(folded(as_words([x]), size // 8) for x in sketch[middle:end].tolist())])
+                for i in range(start, middle):
+                    j = np.flatnonzero(group[i + 1 : end] != group[i]) + i + 1
+                    j = j[may_link(n[j], n[i], bits[j - start], bits[i - start], percent)] if len(j) else j
+                    found = []
+                    for x in j.tolist():
+                        if forest and group[x] != group[i]:
+                            found.append(x)
+                            group[group == group[x]] = group[i]
+                        elif not forest and before[i].isdisjoint(before[x]):
+                            found.append(x)
+                    if found:
+                        j = np.array(found)
+                        yield rows(schema, {"id": [name] * len(j), "a": np.minimum(cls[i], cls[j]), "b": np.maximum(cls[i], cls[j])})
 
         now, parts = None, []
         for batch in batches:
-            x = [batch.column(c).to_numpy() for c in ("id", "cls", "n", "root")]
-            x.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u8").reshape(len(batch), -1))
-            cuts = np.flatnonzero(np.insert(x[0][1:] != x[0][:-1], 0, True)).tolist() if len(batch) else []
+            if not len(batch):
+                continue
+            ids, entries = batch.column("id").to_numpy(), batch.column("entries")
+            ends, values = entries.offsets.to_numpy(), entries.values.to_numpy()
+            before = np.empty(len(batch), object)
+            before[:] = [{y for y in values[a:b].tolist() if y < x} for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.tolist())]
+            x = [*(batch.column(c).to_numpy() for c in ("cls", "n", "root")), np.array(batch.column("sketch").to_pylist(), object), before]
+            cuts = np.flatnonzero(np.insert(ids[1:] != ids[:-1], 0, True)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(batch)]):
-                if x[0][a] != now and parts:
-                    yield from of([np.concatenate(y) for y in zip(*parts)])
+                if ids[a] != now and parts:
+                    yield from of(now, *(np.concatenate(y) for y in zip(*parts)))
                     parts = []
-                now = x[0][a]
-                parts.append([y[a:b] for y in x[1:]])
+                now = ids[a]
+                parts.append([y[a:b] for y in x])
         if parts:
-            yield from of([np.concatenate(y) for y in zip(*parts)])
-
-    named = stored(opened.join(root(two, "cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root")), "named-entries")
-    torn = named.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("id")
-    cross = named.join(torn, "id", "left_semi").join(sketched.select("cls", "sketch"), "cls").repartition(shuffle, "id").sortWithinPartitions("id").mapInArrow(across, "a long, b long")
-    links = edges(two).unionByName(verified(stored(apart(cross, two, pairs), "pairs-across")))
-    roots = components(links)
+            yield from of(now, *(np.concatenate(y) for y in zip(*parts)))
+
+    def pairs_across(some: DataFrame, forest: bool) -> DataFrame:
+        """some: entries (id, cls, n, root)."""
+        torn = some.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("id")
+        some = some.join(torn, "id", "left_semi")
+        if forest:
+            some = some.join(sketched.select("cls", "sketch"), "cls").withColumn("entries", F.expr("cast(array() as array<bigint>)"))
+        else:  # a class has no more entries than signatures
+            some = some.join(some.groupBy("cls").agg(F.collect_list("id").alias("entries")).join(sketched.select("cls", "sketch"), "cls"), "cls")
+        some = some.select("id", "cls", "n", "root", "sketch", "entries").repartition(shuffle, "id").sortWithinPartitions("id")
+        return stored(some.mapInArrow(lambda x: across(x, forest), "id long, a long, b long"), "pairs-across")
+
+    def rooted(some: DataFrame, found: DataFrame) -> DataFrame:
+        return some.join(root(found, "cls"), "cls", "left").select("id", "cls", "n", F.coalesce("root_cls", "cls").alias("root"))
+
+    trees = pairs_across(stored(rooted(opened, two), "named-entries"), True)
+    tree_pairs = stored(apart(trees, two, pairs), "pairs-of-trees")
+    three = components(edges(two).unionByName(verified(tree_pairs)))
+    # an entry whose tree is empty has no pair left to look at
+    left = pairs_across(stored(rooted(opened.join(trees.select("id").distinct(), "id", "left_semi"), three), "named-entries"), False)
+    left = stored(apart(left, three, pairs.unionByName(tree_pairs)), "pairs-left")
+    roots = components(edges(three).unionByName(verified(left)))
     placed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     placed = stored(placed.select("doc", "n", "root"), "placed")
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
