@@ -231,6 +231,22 @@ def test_language(spark, empty):
     assert language_id.learn(empty).decide([b"abc"]) == (["und"], [0.0]) and language_id.identify(empty, filters).count() == 0
 
 
+def test_languages_with_few_rows_and_more_than_64_languages(spark):
+    r, rows = random.Random(2), []
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:02}": ["".join(r.choice(letters) for _ in range(5)) for _ in range(12)] for i in range(70)}
+    ids = iter(i for i in range(10_000) if zlib.crc32(str(i).encode()) % 5)
+    for lang, own in words.items():  # the last has one row, the one before it two, then 5, 15 and 25
+        for _ in range({"l69": 1, "l68": 2, "l67": 5, "l66": 15, "l65": 25}.get(lang, 4)):
+            rows.append((next(ids), " ".join(r.choice(own) for _ in range(60)), lang, None, 0, "", 0))
+    rows.append((next(ids), "12 34 !", "no letters", None, 0, "", 0))
+    filters = language_id.learn(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(filters.languages) == sorted(words) and [len(m.languages) for m in filters.masks] == [64, 6]
+    got, scores = filters.decide([" ".join(own).encode() for own in words.values()])
+    assert got == list(words) and min(scores) > 0.3
+    assert [language_id.least_docs(n) for n in (1, 9, 10, 20, 50, 1500)] == [1, 1, 2, 3, 3, 7]
+
+
 def test_archives(spark, tmp_path):
     big = "x" * 50_000 + "é\r\n0\r\n\r\n"
     pages = [(5, "http://a/ b", "hi"), (3, None, "hi"), (9, "u", None), (2, "u", ""), (7, "u", big), (8, "u", big), (1, "u", "one")]

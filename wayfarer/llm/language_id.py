@@ -7,8 +7,9 @@ false-positive rate (fill to the power of probes); the greatest corrected share
 the score.
 
 The model learns from a bounded sample: of each language the TRAIN_DOCS rows with the least
-hash of their id, among rows with a language whose crc32(id as text) mod 5 is not 0. At most 64
-languages (the most frequent) are learned. Prediction reads whole texts and nothing else.
+hash of their id, among rows with a language whose crc32(id as text) mod 5 is not 0. Every
+language with a letter in its sample is learned: 64 share a table of bitmasks, further ones take
+further tables. Prediction reads whole texts and nothing else.
 
 Defined results: a text that is null or has no letter is `und` with score 0, and so is every
 text if nothing could be learned. Ties go to the language with more labelled rows. Rows that share an
@@ -28,7 +29,7 @@ from .shingles import mix
 
 UNKNOWN = "und"
 FOLDS = 5
-TRAIN_DOCS, TRAIN_GRAMS, MOST_LANGUAGES = 1500, 150_000, 64
+TRAIN_DOCS, TRAIN_GRAMS, WORD_BITS = 1500, 150_000, 64
 #: An n-gram must occur in so many documents of a language's sample, and in this share of them: more than wrong labels make.
 LEAST_DOCS, LEAST_SHARE = 3, 0.005
 SIZES, PROBES = (3, 4), 2
@@ -79,8 +80,13 @@ def n_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64), has
 
 
-class Filters:
-    """A row of language bits per slot; an n-gram has PROBES slots."""
+def least_docs(sampled: int) -> int:
+    """Documents that must hold an n-gram, in a language with so many in its sample; with fewer than twenty, wrong labels can't be told by counts."""
+    return max(min(LEAST_DOCS, 1 + sampled // 10), int(LEAST_SHARE * sampled))
+
+
+class Masks:
+    """A row of language bits per slot, for at most WORD_BITS languages; an n-gram has PROBES slots."""
 
     def __init__(self, grams: dict[str, np.ndarray], slots_per_gram: int = 16):
         self.languages = list(grams)
@@ -98,18 +104,31 @@ class Filters:
         for k in range(PROBES):
             yield (hashes >> np.uint64(k * 24) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) corrected shares; which texts have a letter."""
-        hashes, owner, has = n_grams(texts)
+    def shares(self, hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """(texts, languages) corrected shares."""
         mask = np.full(len(hashes), ~self.rows.dtype.type(0), dtype=self.rows.dtype)
         for at in self.slots(hashes):
             mask &= self.rows[at]
-        total = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        out = np.zeros((len(texts), len(self.languages)))
+        total = np.maximum(np.bincount(owner, minlength=texts), 1)
+        out = np.zeros((texts, len(self.languages)))
         for i in range(len(self.languages)):
-            hits = np.bincount(owner, weights=(mask >> self.rows.dtype.type(i) & self.rows.dtype.type(1)), minlength=len(texts))
+            hits = np.bincount(owner, weights=(mask >> self.rows.dtype.type(i) & self.rows.dtype.type(1)), minlength=texts)
             out[:, i] = np.clip((hits / total - self.false[i]) / (1 - self.false[i]), 0, 1)
-        return out, has
+        return out
+
+
+class Filters:
+    """Masks for any number of languages; a table is as long as the largest of its own languages asks for."""
+
+    def __init__(self, grams: dict[str, np.ndarray], slots_per_gram: int = 16):
+        self.languages = list(grams)
+        cuts = range(0, len(self.languages), WORD_BITS)
+        self.masks = [Masks({x: grams[x] for x in self.languages[i : i + WORD_BITS]}, slots_per_gram) for i in cuts]
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) corrected shares; which texts have a letter."""
+        hashes, owner, has = n_grams(texts)
+        return np.concatenate([m.shares(hashes, owner, len(texts)) for m in self.masks], axis=1), has
 
     def decide(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         if not self.languages:
@@ -126,13 +145,13 @@ def fold(id_col: str):
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Filters:
     """Filters from the sample of labelled rows. What comes to the driver is bounded by the languages and TRAIN_GRAMS."""
     rows_ = docs.filter(F.col(lang_col).isNotNull() & (fold(id_col) != 0))
-    common = [r["lang"] for r in rows_.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    common = {r["lang"]: r["count"] for r in rows_.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()}
     if not common:
         return Filters({})
     # rank limits apply before the shuffle, so a language that most rows share costs train_docs rows a task
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    sample = rows_.filter(F.col(lang_col).isin(common)).select(F.col(id_col), F.col(lang_col)).withColumn("_n", rank).filter(F.col("_n") <= train_docs).select(F.col(id_col)).distinct()
-    chosen = rows_.filter(F.col(lang_col).isin(common)).join(F.broadcast(sample), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = rows_.select(F.col(id_col), F.col(lang_col)).withColumn("_n", rank).filter(F.col("_n") <= train_docs).select(F.col(id_col)).distinct()
+    chosen = rows_.join(F.broadcast(sample), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
@@ -148,17 +167,23 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 gram, n = np.unique(h[once], return_counts=True)
                 yield rows(schema, {"lang": [language] * len(gram), "gram": gram.view(np.int64), "n": n})
 
-    least = max(LEAST_DOCS, int(LEAST_SHARE * train_docs))
-    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    enough = counts.filter(F.col("n") >= least).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_n") <= TRAIN_GRAMS)
-    found = enough.select("lang", "gram").toArrow().to_pandas()
-    parts = dict(list(found.groupby("lang")))
-    return Filters({language: parts[language]["gram"].to_numpy().astype(np.int64).view(np.uint64) for language in common if language in parts})
+    def grams(least: dict[str, int]) -> dict[str, np.ndarray]:
+        """The n-grams of each of these languages that enough of its documents hold."""
+        asked = F.broadcast(docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long"))
+        counts = chosen.join(asked.select("lang"), "lang", "left_semi").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        enough = counts.join(asked, "lang").filter(F.col("n") >= F.col("least")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_n") <= TRAIN_GRAMS)
+        found = enough.select("lang", "gram").toArrow().to_pandas()
+        return {x: part["gram"].to_numpy().astype(np.int64).view(np.uint64) for x, part in found.groupby("lang")}
+
+    parts = grams({x: least_docs(min(n, train_docs)) for x, n in common.items()})
+    if rest := [x for x in common if x not in parts]:
+        parts |= grams(dict.fromkeys(rest, 1))  # no n-gram is in enough documents: all count
+    return Filters({x: parts[x] for x in common if x in parts})
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with the predicted language and its score."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # at most 64 languages x TRAIN_GRAMS
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # languages x TRAIN_GRAMS
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{lang_col}` string, `{score_col}` double").fields])
     at = docs.columns.index(text_col)
 
