@@ -247,6 +247,14 @@ def test_languages_with_few_rows_and_more_than_64_languages(spark):
     assert [language_id.least_docs(n) for n in (1, 9, 10, 20, 50, 1500)] == [1, 1, 2, 3, 3, 7]
 
 
+def test_letters_of_all_planes():
+    adlam, gothic, marks = "\U0001e900\U0001e901\U0001e902 \U0001e903\U0001e904", "\U00010330\U00010331\U00010332", "\U000e0041\U000f0000 \U0001f600"
+    texts = [x.encode() for x in (adlam, gothic, marks, "\U00020000")]
+    assert language_id.n_grams(texts)[2].tolist() == [True, True, False, True]
+    filters = language_id.Filters({"ff": language_id.n_grams(texts[:1])[0], "got": language_id.n_grams(texts[1:2])[0]})
+    assert filters.decide(texts[:3])[0] == ["ff", "got", "und"]
+
+
 def test_archives(spark, tmp_path):
     big = "x" * 50_000 + "é\r\n0\r\n\r\n"
     pages = [(5, "http://a/ b", "hi"), (3, None, "hi"), (9, "u", None), (2, "u", ""), (7, "u", big), (8, "u", big), (1, "u", "one")]

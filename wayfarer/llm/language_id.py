@@ -40,9 +40,9 @@ _letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
-    """Which code points of the basic plane are letters."""
+    """Which code points of all planes are letters."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0x10000)]))
+        _letters.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     return _letters[0]
 
 
@@ -54,7 +54,7 @@ def n_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = "".join(" " + x.decode("utf-8", "replace").replace("\0", " ").lower() + "\0" for x in texts)
     code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
     ends = np.flatnonzero(code == 0)
-    letter = np.where(code < 0x10000, letters()[np.minimum(code, 0xFFFF)], code >= 0x20000)
+    letter = letters()[code]
     code = np.where(letter, code, 32)
     owner = np.searchsorted(ends, np.arange(len(code)), side="left")
     keep = letter | np.insert(letter[:-1], 0, True)  # the first blank of a run, or of a text
