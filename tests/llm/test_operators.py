@@ -275,3 +275,18 @@ def test_archives(spark, tmp_path):
     assert warc.unchunked(warc.chunked(b"")) == b"" and warc.unchunked(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc"
     warc.write_archives(df.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_archives_of_repeated_rows(spark, tmp_path):
+    """Below and above the segment size, alone and after an earlier page."""
+    big = "x" * 50_000
+    twice = [(5, "u", "hi"), (5, "v", "hi"), (7, "u", big), (7, "u", big), (7, "u", big), (8, "u", big), (8, "u", big), (7, "u", "hi"), (9, "u", "x" * 3000), (9, "u", "y" * 3000), (10, "u", "z")]
+    for least in (0, 10**6):
+        warc.write_archives(spark.createDataFrame(twice, "page_id long, url string, html string").repartition(3), str(tmp_path / f"twice{least}"), least_revisit=least, segment_bytes=1000)
+        origin = lambda page, html: min(p for p, _, h in twice if h == html) if not least else page  # noqa: B023, E731
+        want = Counter((p, len(h.encode()), warc.digest_of(h.encode()), "response" if origin(p, h) == p else "revisit", None if origin(p, h) == p else origin(p, h)) for p, _, h in twice)
+        assert Counter(map(tuple, warc.read_archives(spark, str(tmp_path / f"twice{least}")).collect())) == want
+        packed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(tmp_path / f"twice{least}")).collect()
+        fields = [f for x in packed for f, _ in warc.parse(zlib.decompress(x.content, 31) if x.content else b"")]
+        names = [f[b"WARC-Record-ID"] for f in fields]
+        assert len(set(names)) == len(names) and {f[b"WARC-Refers-To"] for f in fields if b"WARC-Refers-To" in f} <= set(names)

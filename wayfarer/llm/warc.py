@@ -11,9 +11,10 @@ Archives are gzip files written and read by Spark's own sources. Each record end
 breaks, the last line feed being the sink's, so a file is a plain sequence of records. Whole
 records are parsed where the file is read; only segmented ones are shuffled.
 
-Defined results: a null html has an empty payload, a null url an empty target. Rows that share
-a page id and a payload become one response and revisits of it, or all responses below the
-least size; with different payloads they are told apart by payload. A null id sorts first. An
+Defined results: a null html has an empty payload, a null url an empty target. Every row gives
+a record. Rows that share a page id and a payload are all responses, or all revisits of an
+earlier page's; one of them has the plain record id, the others' ids are marked as copies. With
+different payloads they are told apart by payload. A null id sorts first. An
 empty table gives no rows. Other columns are not looked at.
 """
 
@@ -66,11 +67,11 @@ def record(kind: bytes, name: str, block: bytes, *more: tuple[bytes, object]) ->
     return b"WARC/1.1\r\n" + head + _BREAK + block + b"\r\n\r"
 
 
-def response(page: int, url: str, payload: bytes, segment_bytes: int):
+def response(page: int, url: str, payload: bytes, segment_bytes: int, copy: str = ""):
     digest = digest_of(payload)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    name = f"{page}-{digest}"
+    name = f"{page}-{digest}{copy}"
     about = [(b"WARC-Target-URI", " ".join(url.split())), (b"WARC-Payload-Digest", f"sha1:{digest}"), (b"X-Page", page)]
     for i, part in enumerate(parts):
         more = [(b"WARC-Segment-Number", i + 1)] if len(parts) > 1 else []
@@ -108,8 +109,8 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
     html = F.coalesce("html", F.lit(""))
     wanted = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"))
     sums = stored(wanted.select("page", F.octet_length("html").alias("bytes"), F.sha1("html").alias("sha")), "payload-digests")
-    groups = sums.filter(F.col("bytes") >= least_revisit).groupBy("bytes", "sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    keys = groups.select("bytes", "sha", "first")
+    groups = stored(sums.groupBy("bytes", "sha").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1"), "equal-payloads")
+    keys = groups.filter(F.col("bytes") >= least_revisit).select("bytes", "sha", "first")
     # the few groups of equal payloads meet the pages; whoever isn't the first of its group is a revisit
     again = F.coalesce(F.col("page") != F.col("first"), F.lit(False))
 
@@ -117,16 +118,28 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         for batch in in_blocks(batches, "html"):
             out = []
             sha = batch.column("sha").to_pylist()
-            for page, url, html, first, x in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), utf8(batch.column("html")), batch.column("first").to_pylist(), sha):
+            for page, url, html, first, x, n in zip(batch.column("page").to_pylist(), batch.column("url").to_pylist(), utf8(batch.column("html")), batch.column("first").to_pylist(), sha, batch.column("copy").to_pylist()):
+                copy = "" if n is None else f"-copy{n}"
                 if first is None:
-                    out += response(page, url, html, segment_bytes)
+                    out += response(page, url, html, segment_bytes, copy)
                 else:
                     digest = base64.b32encode(bytes.fromhex(x)).decode()
-                    out.append(record(b"revisit", f"{page}-revisit", b"", (b"WARC-Target-URI", " ".join(url.split())), (b"WARC-Payload-Digest", f"sha1:{digest}"), (b"X-Page", page), (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To", f"<urn:wayfarer:{first}-{digest}>")))
+                    out.append(record(b"revisit", f"{page}-{digest}-revisit{copy}", b"", (b"WARC-Target-URI", " ".join(url.split())), (b"WARC-Payload-Digest", f"sha1:{digest}"), (b"X-Page", page), (b"WARC-Profile", b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), (b"WARC-Refers-To", f"<urn:wayfarer:{first}-{digest}>")))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     marked = wanted.withColumns({"bytes": F.octet_length("html"), "sha": F.sha1("html")}).join(keys, ["bytes", "sha"], "left")
-    marked = marked.select("page", "url", F.when(~again, F.col("html")).alias("html"), F.when(again, F.col("first")).alias("first"), "sha")
+    marked = marked.select("page", "url", F.when(~again, F.col("html")).alias("html"), F.when(again, F.col("first")).alias("first"), "bytes", "sha")
+    key = ["page", "bytes", "sha"]
+    repeated = stored(sums.join(groups, ["bytes", "sha"], "left_semi").groupBy(*key).count().filter("count > 1").select(*key, F.lit(True).alias("repeated")), "repeated-pages")
+    if repeated.isEmpty():
+        marked = marked.withColumn("copy", F.lit(None).cast("long"))
+    else:
+        # repeated rows are numbered once and stored; the least number of a group keeps the plain record id
+        marked = marked.join(repeated, key, "left")
+        numbered = stored(marked.filter("repeated").withColumn("number", F.monotonically_increasing_id()), "repeated-rows")
+        plain = numbered.groupBy(*key).agg(F.min("number").alias("plain"))
+        numbered = numbered.join(plain, key).withColumn("copy", F.when(F.col("number") != F.col("plain"), F.col("number")))
+        marked = marked.filter("repeated is null").withColumn("copy", F.lit(None).cast("long")).drop("repeated").unionByName(numbered.drop("repeated", "number", "plain"))
     marked.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
