@@ -216,6 +216,18 @@ def test_a_number_written_otherwise_is_found():
     assert [text[a:b] for a, _, b in pii.Field(weights, agree, agree).added([text], base)[0]] == ["17435553824"]
 
 
+@pytest.mark.parametrize("found_at", [0, 20, 39])
+def test_a_number_found_once_reaches_its_furthest_mention(found_at):
+    weights = np.zeros((pii.FEATURES, 5))
+    weights[0, 0] = 2.0  # without support a token is none
+    agree = np.full((5, 5), -2.0) + 4 * np.eye(5)
+    text = " and then again ".join("+1-743-555-3824" if i == found_at else "17435553824" for i in range(40))
+    base = [pii.base_spans(text)]
+    assert len(base[0]) == 1
+    added = pii.Field(weights, agree, agree).added([text], base)[0]
+    assert [(text[a:b], k) for a, k, b in added] == [("17435553824", 3)] * 39
+
+
 def test_language(spark, empty):
     r, rows = random.Random(1), []
     for i in range(300):

@@ -6,7 +6,9 @@ name. Neighbouring tokens share chain potentials; equal or similar tokens anywhe
 document (same text but for case and punctuation, or the same five digits or more) share skip
 potentials, so that a number found once is also found where it is written differently. Loopy
 sum-product message passing runs over all documents of a block as one graph. Repeated mentions
-are linked in sequence, which keeps the links in proportion to the tokens.
+are linked in sequence, and each that isn't next to a mention which the patterns found is also
+linked to the nearest such one before it, or else the first: an observed node, so that what was
+found reaches the whole document in one step. The links stay in proportion to the tokens.
 
 Trained piecewise: unary weights by softmax regression, chain and skip potentials from counts,
 on the patterns' own labels in TRAIN_DOCS documents of at most TRAIN_CHARS (those with the least
@@ -132,10 +134,10 @@ class Field:
 
     @staticmethod
     def graph(texts: list[str], base: list[list[tuple[int, int, int]]]):
-        """Nodes (text, start, end), their features and labels by the patterns; chain and skip edges."""
-        node, feats, label, chain, skip = [], [], [], [], []
+        """Nodes (text, start, end), their features and labels by the patterns; chain and skip edges; found mentions' edges (node, label)."""
+        node, feats, label, chain, skip, far = [], [], [], [], [], []
         for i, (text, spans) in enumerate(zip(texts, base)):
-            last, seen, before = None, {}, ""
+            last, seen, before = None, {}, ""  # seen: key -> its mentions
             for a, b, token, key in tokens(text, spans) if spans or _ANY.search(text) else ():
                 here = len(node)
                 node.append((i, a, b))
@@ -145,17 +147,24 @@ class Field:
                     chain.append((last, here))
                 if len(key) >= 5:
                     if key in seen:
-                        skip.append((seen[key], here))
-                    seen[key] = here
+                        skip.append((seen[key][-1], here))
+                    seen.setdefault(key, []).append(here)
                 last, before = here, token
+            for mentions in seen.values():
+                found = next((label[m] for m in mentions if label[m]), 0)
+                for before_it, m, after_it in zip([None, *mentions], mentions, [*mentions[1:], None]) if found else ():
+                    if label[m]:
+                        found = label[m]
+                    elif not any(x is not None and label[x] for x in (before_it, after_it)):
+                        far.append((m, found))
         x = np.zeros((len(node), FEATURES))
         for i, f in enumerate(feats):
             x[i, f] = 1
-        return node, x, np.asarray(label, np.int64), np.asarray(chain, np.int64).reshape(-1, 2), np.asarray(skip, np.int64).reshape(-1, 2)
+        return node, x, np.asarray(label, np.int64), np.asarray(chain, np.int64).reshape(-1, 2), np.asarray(skip, np.int64).reshape(-1, 2), np.asarray(far, np.int64).reshape(-1, 2)
 
     @classmethod
     def train(cls, texts: list[str], steps: int = 300) -> Field:
-        _, x, y, chain, skip = cls.graph(texts, [base_spans(t) for t in texts])
+        _, x, y, chain, skip, _ = cls.graph(texts, [base_spans(t) for t in texts])
         n = len(KINDS) + 1
         weights, goal = np.zeros((FEATURES, n)), np.eye(n)[y] if len(y) else np.zeros((0, n))
         for _ in range(steps if len(y) else 0):
@@ -173,10 +182,11 @@ class Field:
 
         return cls(weights, potential(chain), potential(skip))
 
-    def marginals(self, x, y, chain, skip) -> np.ndarray:
+    def marginals(self, x, y, chain, skip, far) -> np.ndarray:
         """Loopy sum-product over all nodes; what the patterns found is evidence."""
         unary = x @ self.weights
         unary[np.arange(len(y)), y] += EVIDENCE * (y > 0)
+        unary[far[:, 0]] += self.skip[far[:, 1]]  # a node has one such edge at most
         pairs = np.concatenate([chain, skip])
         if len(pairs):
             potential = np.concatenate([np.broadcast_to(self.chain, (len(chain), *self.chain.shape)), np.broadcast_to(self.skip, (len(skip), *self.skip.shape))])
@@ -198,11 +208,11 @@ class Field:
 
     def added(self, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text that the field adds to its base spans."""
-        node, x, y, chain, skip = self.graph(texts, base)
+        node, x, y, chain, skip, far = self.graph(texts, base)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         if not node:
             return out
-        p = self.marginals(x, y, chain, skip)
+        p = self.marginals(x, y, chain, skip, far)
         best = p.argmax(axis=1)
         linked = np.zeros(len(node), bool)
         linked[skip.ravel()] = True
