@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from wayfarer.llm import exact_dedup, ngram_join
 from wayfarer.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -18,3 +19,17 @@ def test_stages(spark):
     assert len(kept) > 0.8 * len(before) and len({t.lower() for t in kept.values()}) == len(kept)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(100)) for c in "xyz")
+    near = lambda t: t + " more"
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    exact = frame([(5, x), (5, y), (9, y), (None, z), (7, z), (None, x + "!"), (None, x + "!"), (None, x + "?")])
+    assert told(exact_dedup.drop_exact_duplicates(exact)) == sorted([(5, x), (9, y), (7, z), (None, x + "!"), (None, x + "?")], key=str)
+    # x stays though its id goes with y's copy; of copies that share the least id, or a null one, one stays
+    got = told(ngram_join.keep_one_of_each(frame([(5, x), (5, near(y)), (3, y), (None, z), (7, near(z)), (8, near(z)), (None, "a b"), (None, None), (None, None)]), k=5, percent=80))
+    assert got == sorted([(5, x), (3, y), (None, z), (None, "a b"), (None, None), (None, None)], key=str)
+    got = told(ngram_join.keep_one_of_each(frame([(3, y), (3, near(y)), (4, y), (2, x), (2, x), (6, z)]), k=5, percent=80))
+    assert [i for i, _ in got] == [2, 3, 6] and got[1][1] in (y, near(y))

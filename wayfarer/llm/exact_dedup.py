@@ -26,35 +26,48 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     content_sha256 is there for the rows whose whole text had to be read, or for all with digest_all.
     """
+    found = _marks(docs, id_col, text_col, prefix_chars, digest_all, [])
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), "content_sha256")
+
+
+def _prefix(text, prefix_chars: int):
+    return F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars)))
+
+
+def _marks(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, digest_all: bool, more: list[str]) -> DataFrame:
+    """id, keep_id, group_size, content_sha256 and more (of bytes, prefix and whole) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("bytes"), F.xxhash64(lower_ascii(F.substring(text, 1, prefix_chars))).alias("prefix"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.octet_length(text).alias("bytes"), _prefix(text, prefix_chars).alias("prefix"), text.alias("text"))
     small = stored(keyed.drop("text"), "dedup-keys")
     lengths = small.groupBy("bytes").count().filter("count > 1").select("bytes")
     # aggregates before each shuffle, so a length or prefix that most rows share costs a row a task
     keys = small.groupBy("bytes", "prefix").count().filter("count > 1").select("bytes", "prefix").join(lengths, "bytes", "left_semi").withColumn("again", F.lit(True))
     whole = F.sha2(lower_ascii(F.col("text")), 256)
     read = keyed.join(keys, ["bytes", "prefix"], "left")
-    read = read.select("id", "bytes", F.when(F.col("again"), whole).alias("whole"), (whole if digest_all else F.when(F.col("again"), whole)).alias("content_sha256"))
+    read = read.select("id", "bytes", *(["prefix"] if "prefix" in more else []), F.when(F.col("again"), whole).alias("whole"), (whole if digest_all else F.when(F.col("again"), whole)).alias("content_sha256"))
     read = stored(read, "dedup-hashes")
     groups = read.filter("whole is not null").groupBy("bytes", "whole").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    alone = read.filter("whole is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "content_sha256")
+    alone = read.filter("whole is null").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "content_sha256", *more)
     met = read.filter("whole is not null").join(groups, ["bytes", "whole"], "left")
-    met = met.select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "content_sha256")
-    out = alone.unionByName(met)
-    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("keep_id").eqNullSafe(F.col("id")).alias("kept"), "content_sha256")
+    met = met.select("id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "content_sha256", *more)
+    return alone.unionByName(met)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts. Of repeated rows with the same id one stays."""
-    marks = exact_duplicates(docs, id_col, text_col)
-    gone = marks.filter("not kept").select(id_col).distinct()
-    again = marks.filter("kept and group_size > 1").groupBy(id_col).count().filter("count > 1").select(id_col)
-    rest = docs.join(gone, id_col, "left_anti")
-    again = stored(again, "dedup-again")
+    marks = _marks(docs, id_col, text_col, PREFIX_CHARS, False, ["bytes", "prefix", "whole"]).filter("group_size > 1")
+    kept = F.col("keep_id").eqNullSafe(F.col("id"))
+    # rows go by id and text: a row that may be meant, by its id, length and prefix, shows its whole text
+    gone = marks.filter(~kept).groupBy(F.col("id").alias("_id"), F.col("bytes").alias("_bytes"), F.col("prefix").alias("_prefix")).agg(F.collect_set("whole").alias("_wholes"))
+    again = stored(marks.filter(kept).groupBy("id", "whole").count().filter("count > 1").select(F.col("id").alias("_id")).distinct(), "dedup-again")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    same_id = F.col(id_col).eqNullSafe(F.col("_id"))
+    met = docs.join(gone, same_id & (F.octet_length(text) == F.col("_bytes")) & (_prefix(text, PREFIX_CHARS) == F.col("_prefix")), "left")
+    rest = met.filter(F.when(F.col("_wholes").isNull(), True).otherwise(~F.array_contains("_wholes", F.sha2(lower_ascii(text), 256)))).select(*docs.columns)
     if again.isEmpty():
         return rest
-    one = rest.join(again, id_col, "left_semi").withColumn("_content", lower_ascii(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, "_content"]).drop("_content")
-    return rest.join(again, id_col, "left_anti").unionByName(one)
+    one = rest.join(again, same_id, "left_semi").withColumn("_content", lower_ascii(text)).dropDuplicates([id_col, "_content"]).drop("_content")
+    return rest.join(again, same_id, "left_anti").unionByName(one)
 
 
 def op6(spark, sf_dir):

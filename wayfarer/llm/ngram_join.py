@@ -163,20 +163,35 @@ def spread(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """id, n_shingles and component_id of every row: sets link when 100 * intersection >= percent * union."""
+    placed = _placed(docs, id_col, text_col, k, percent, [])
+    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
+    some = placed.filter("root is not null").join(least, "root").select("doc", "n", "component")
+    out = some.unionByName(placed.filter("root is null").select("doc", "n", F.col("doc").alias("component")))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+
+
+def _key(id_col: str, text_col: str) -> dict:
+    """What tells the rows that share an id apart."""
+    return {"doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "content": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, more: list[str]) -> DataFrame:
+    """doc, n, root and more (content or nothing) of every row; root is null for an empty set."""
     spark = docs.sparkSession
     shuffle = partitions(spark)
     buckets = 4 * shuffle
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
+    texts = docs.select(*(c.alias(name) for name, c in _key(id_col, text_col).items() if name in ("doc", *more)), F.col(text_col).alias("text"))
     message = "bucket int, packed binary"
     deal = lambda df: df.repartition(shuffle, "bucket").sortWithinPartitions("bucket")
-    first = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary())])
+    first = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("sketch", pa.binary()), *((c, pa.int64()) for c in more)])
 
     def describe(batches):
         """A row per document, and counts of the tokens that a block's classes share."""
         for batch in in_blocks(batches, "text", BLOCK_BYTES):
             sets = shingle_sets(utf8(batch.column("text")), k)
             names = [class_of(s) if len(s) else None for s in sets]
-            yield rows(first, {"bucket": [None] * len(sets), "packed": [None] * len(sets), "doc": batch.column("doc").to_pylist(), "n": list(map(len, sets)), "cls": names, "sketch": sketches(sets)})
+            yield rows(first, {"bucket": [None] * len(sets), "packed": [None] * len(sets), "doc": batch.column("doc").to_pylist(), "n": list(map(len, sets)), "cls": names, "sketch": sketches(sets), **{c: batch.column(c).to_pylist() for c in more}})
             tokens, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *dict(zip(names, sets)).values()]), return_counts=True)
             if (n > 1).any():
                 entries = np.empty(int((n > 1).sum()), _COUNT)
@@ -191,8 +206,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             n = np.bincount(at, weights=entries["n"]).astype(np.int64)
             yield rows(schema, {"token": tokens[n >= LEAST_COUNT].view(np.int64), "n": n[n >= LEAST_COUNT]})
 
-    described = stored(texts.mapInArrow(describe, "bucket int, packed binary, doc long, n long, cls long, sketch binary"), "shingle-sets")
-    members = described.filter("bucket is null").select("doc", "n", "cls")
+    described = stored(texts.mapInArrow(describe, ", ".join(["bucket int, packed binary, doc long, n long, cls long, sketch binary", *(f"{c} long" for c in more)])), "shingle-sets")
+    members = described.filter("bucket is null").select("doc", "n", "cls", *more)
     classes = described.filter("cls is not null").select("cls", "n", "sketch")
     counts = deal(described.filter("bucket is not null").select("bucket", "packed")).mapInArrow(total, "token long, n long")
     top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
@@ -399,19 +414,21 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = stored(apart(left, three, pairs.unionByName(tree_pairs)), "pairs-left")
     roots = components(edges(three).unionByName(verified(left)))
     placed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    placed = stored(placed.select("doc", "n", "root"), "placed")
-    least = placed.filter("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
-    some = placed.filter("root is not null").join(least, "root").select("doc", "n", "component")
-    out = some.unionByName(placed.filter("root is null").select("doc", "n", F.col("doc").alias("component")))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
+    return stored(placed.select("doc", "n", "root", *more), "placed")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """docs with one row of each component: the row whose id is the component's."""
-    found = similar_components(docs, id_col, text_col, k, percent)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """docs with one row of each component: one whose id is the component's."""
+    key = ["_doc", "_content"]
+    placed = _placed(docs, id_col, text_col, k, percent, ["content"]).filter("root is not null").withColumnsRenamed({"doc": "_doc", "content": "_content"})
+    kept = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keep"), F.count("*").alias("members")).filter("members > 1")
+    met = placed.join(kept, "root").withColumn("stays", F.struct(*key) == F.col("keep"))
+    gone = met.filter("not stays").select(*key).distinct()
+    again = stored(met.filter("stays").groupBy(*key).count().filter("count > 1").select(*key), "near-again")
+    rest = docs.withColumns(dict(zip(key, _key(id_col, text_col).values()))).join(gone, key, "left_anti")
+    if not again.isEmpty():
+        rest = rest.join(again, key, "left_anti").unionByName(rest.join(again, key, "left_semi").dropDuplicates(key))
+    return rest.select(*docs.columns)
 
 
 def op9(spark, sf_dir):
