@@ -10,7 +10,6 @@ from ..functions import dims, geo
 from ..operators import geometry, graph, inventory, nearest, ways
 from ..sources import catalog
 from ..streaming import rides
-from ..streaming.steps import Segments
 from . import network as N
 from .network import oracle, r3
 
@@ -306,20 +305,9 @@ def camera_follow(spark, sf_dir):
     return rides.camera_path(rides.ride_on(_rides(spark, sf_dir).drop("value"))).select("ride_id", "tick", r3("x").alias("x"), r3("z").alias("z"), r3("heading").alias("heading"), r3("fov").alias("fov"))
 
 
-#: Segments that a ride may hold in a worker; a larger network is dealt by region before it is ridden.
-MOST_SEGMENTS = 2_000_000
-
-
 @query()
 def ride_feedback(spark, sf_dir):
-    found = N.road_segments(spark, sf_dir).limit(MOST_SEGMENTS + 1).collect()
-    if len(found) > MOST_SEGMENTS:
-        raise ValueError(f"more than {MOST_SEGMENTS} segments: ride a region at a time")
-    roads, by = Segments(), {}
-    for r in found:
-        by.setdefault((math.floor(r.ax / 1000), math.floor(r.az / 1000)), []).append((r.segment_id, r.ax, r.az, r.bx, r.bz, r.width, "asphalt"))
-    for chunk, segments in by.items():
-        roads.add(chunk, segments)
+    roads = N.road_segments(spark, sf_dir).withColumn("surface", F.lit("asphalt"))
     out = rides.ride_feedback(_rides(spark, sf_dir).drop("value"), roads, _GRID, (2000.0, 2000.0))
     return out.select("ride_id", "tick", r3("x").alias("x"), r3("z").alias("z"), r3("speed").alias("speed"), "surface", "on_road", "loaded", "unloaded")
 
