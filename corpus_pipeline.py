@@ -46,7 +46,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_passages),
     ("packing", sequences),
 ]
-#: The first and third stages have no SQL form; tests hold run() against a brute-force version.
+#: The first and third stages have no SQL form; no test holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 
