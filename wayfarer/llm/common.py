@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +25,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir. One of this machine alone only where that is unset and all runs in this one process."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("wayfarer.local.dir", "")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfarer-")
         spark.conf.set("wayfarer.local.dir", found)
     return found
 
 
+_open: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The scratch paths that are made meanwhile, but for those that an inner collected() gets."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield made
+    finally:
+        _open.pop()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/wayfarer-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/wayfarer-{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,11 +65,73 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """stored(build(), name); the tables that build() stored on the way are removed, since nothing reads them any more."""
+    with collected() as made:
+        df = build()
+    out = stored(df, name)
+    remove(spark, made)
+    return out
+
+
+def new_names(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from all that are taken."""
+    taken, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def trim() -> None:
+    """Gives freed memory back, which an idle worker would keep beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give_back(0)
+
+
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker keeps between tasks: one thing at a time, so that the operators that share a worker don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions that the session asks for; bucket counts follow it, so they grow with the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def least_count(counts: DataFrame, n: str, most: int, weight: Column | None = None) -> int:
+    """The least number such that at most `most` rows (or their weight) have a count of it or more.
+
+    Taken from a histogram of counts, a hundred steps to each doubling, so no rows are sorted or gathered.
+    """
+    step = F.ceil(F.log2(n) * 100).cast("int")
+    found = counts.groupBy(step.alias("step")).agg(F.sum(F.lit(1) if weight is None else weight).alias("w"), F.min(n).alias("least")).orderBy(F.desc("step")).collect()
+    least, total = 2**62, 0
+    for r in found:
+        total += r["w"]
+        if total > most:
+            break
+        least = r["least"]
+    return least
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z only. A text of ASCII alone takes the fast lower(); any other goes by code point."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -73,7 +158,7 @@ def rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x := columns[f.name], pa.Array) else pa.array(x, type=f.type) for f in schema], schema=schema)
 
 
-def in_blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def in_blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about most_bytes of the column's text, so that arrays per word stay small."""
     for batch in batches:
         n = len(batch)
@@ -84,3 +169,4 @@ def in_blocks(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), n]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    trim()

@@ -2,25 +2,31 @@
 
 The automaton reads a document word by word and holds the longest match that ends at each
 word. Where it reaches a window's length (10 words, or a whole shorter item), the words of the
-window are hit. Items go to the workers in blocks of a bounded number of words; each block
-reads all documents, so a benchmark of any size fits.
+window are hit. Items go to the workers in blocks of a bounded number of words, a block at a
+time: the driver holds one, and with more than one the documents are stored between two. An item
+longer than a block is cut into pieces that overlap by a window less a word, so every window of
+it lies in one piece.
 
 Words are runs of digits, letters and characters beyond ASCII, after lower-casing A-Z.
-Defined results: null has no words. An item without words has no window. Repeated rows and rows
-that share an id are judged apart; items that share an id count once. An empty table gives no
-rows, an empty benchmark no hits. Other columns are kept where rows are passed on.
+Defined results: a null or empty text has no words and no hits, and stays as it is. An item
+without words has no window. Repeated rows and rows that share an id, or have none, are judged
+apart; items that share an id count once, and a null item id is the empty string. An empty table
+gives no rows, an empty benchmark no hits. benchmark_hits() adds columns; columns of the documents
+with their names give way. remove_benchmark() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import in_blocks, rows, table, utf8
+from .common import in_blocks, kept, new_names, stored, table, utf8
 
 WINDOW = 10
 #: Words of items in one automaton: the bound of what is broadcast.
@@ -132,48 +138,75 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in blocks of bounded size, fetched a partition at a time."""
-    blocks, block, size = [], [], 0
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in blocks of a bounded number of words, fetched a partition at a time."""
+    block, size, most = [], 0, max(block_words, window)
     for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         words = normal_words((r["t"] or "").encode())
-        if not words:
-            continue
-        if block and size + len(words) > block_words:
-            blocks, block, size = [*blocks, block], [], 0
-        block.append((r["i"] or "", words))
-        size += len(words)
-    return [*blocks, block] if block else blocks
+        pieces = [words] if len(words) <= most else [words[s : s + most] for s in range(0, len(words) - window + 1, most - window + 1)]
+        for piece in pieces if words else ():
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((r["i"] or "", piece))
+            size += len(piece)
+    if block:
+        yield block
+
+
+FOUND = ("n_words", "hit_spans", "hit_items")
+
+
+def _read(docs: DataFrame, benchmark: DataFrame, text_col: str, item_id: str, item_text: str, window: int, block_words: int, names: tuple[str, ...], last: Callable, last_schema: StructType) -> DataFrame:
+    """docs read by the automaton of each block of items. last(batch of docs, words, spans, items) makes the rows of the result, of last_schema."""
+    spark = docs.sparkSession
+    own, at = len(docs.columns), docs.columns.index(text_col)
+    between = StructType([*docs.schema.fields, *StructType.fromDDL("`{}` long, `{}` array<struct<a:bigint,b:bigint>>, `{}` array<string>".format(*names)).fields])
+    types = [pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
+
+    def told(own_columns: list, words: list, spans: list, items: list) -> pa.RecordBatch:
+        more = (words, [[{"a": x, "b": y} for x, y in s] for s in spans], [sorted(x) for x in items])
+        return pa.RecordBatch.from_arrays([*own_columns, *(pa.array(x, t) for x, t in zip(more, types))], names=between.names)
+
+    def scanned(found: DataFrame, block: list, first: bool, final: bool) -> tuple[DataFrame, object]:
+        held, key = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # at most block_words words
+
+        def scan(batches):
+            automaton = kept(("automaton", key), lambda: Automaton(held.value, window))
+            for batch in in_blocks(batches, text_col):
+                texts = [normal_words(x) for x in utf8(batch.column(at))]
+                results = [automaton.scan(x) for x in texts]
+                if not first:
+                    before = zip(batch.column(own + 1).to_pylist(), batch.column(own + 2).to_pylist())
+                    results = [(merged([*a, *((x["a"], x["b"]) for x in s)]), b | set(i)) for (a, b), (s, i) in zip(results, before)]
+                columns = [batch.column(j) for j in range(own)]
+                yield (last if final else told)(columns, list(map(len, texts)), [a for a, _ in results], [b for _, b in results])
+
+        return found.mapInArrow(scan, last_schema if final else between), held
+
+    blocks = item_blocks(benchmark, item_id, item_text, block_words, window)
+    block, first, found = next(blocks, []), True, docs
+    while True:
+        following = next(blocks, None)
+        found, held = scanned(found, block, first, following is None)
+        if following is None:
+            return found
+        found = stored(found, "benchmark-hits")
+        held.destroy()
+        block, first = following, False
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with n_words, hit_spans (word positions, end exclusive) and hit_items, a list of item ids."""
-    spark = docs.sparkSession
-    kept = docs.schema.fields
-    out = StructType([*kept, *StructType.fromDDL("n_words long, hit_spans array<struct<a:bigint,b:bigint>>, hit_items array<string>").fields])
-    found = docs
-    for k, block in enumerate(item_blocks(benchmark, item_id, item_text, block_words) or [[]]):
-        held = spark.sparkContext.broadcast(block)
-
-        def scan(batches, held=held, first=k == 0):
-            automaton = Automaton(held.value, window)
-            for batch in in_blocks(batches, text_col, 4_000_000):
-                n, spans, items = [], [], []
-                for i, text in enumerate(utf8(batch.column(text_col))):
-                    words = normal_words(text)
-                    a, b = automaton.scan(words)
-                    if not first:
-                        a = merged([*a, *((x["a"], x["b"]) for x in batch.column("hit_spans")[i].as_py())])
-                        b |= set(batch.column("hit_items")[i].as_py())
-                    n.append(len(words))
-                    spans.append([{"a": x, "b": y} for x, y in a])
-                    items.append(sorted(b))
-                own = [batch.column(j) for j in range(len(kept))]
-                more = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*own, *more], names=out.names)
-
-        found = found.mapInArrow(scan, out)
-    return found
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c == text_col or c.lower() not in FOUND])
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL("n_words long, hit_spans array<struct<a:bigint,b:bigint>>, hit_items array<string>").fields])
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def last(columns: list, words: list, spans: list, items: list) -> pa.RecordBatch:
+        told = [[{"a": x, "b": y} for x, y in s] for s in spans]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(told, span), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=schema.names)
+
+    return _read(docs, benchmark, text_col, item_id, item_text, window, block_words, FOUND, last, schema)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -186,32 +219,36 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", most_covered: float = MOST_COVERED, window: int = WINDOW) -> DataFrame:
-    """docs without the words that windows cover. A document of which more than most_covered is hit goes whole."""
-    kept = docs.columns
-    hits = benchmark_hits(docs, benchmark, text_col, window=window)
-    covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    hits = hits.filter(covered <= F.col("n_words") * most_covered)
-
-    def cut(batches):
-        for batch in batches:
-            texts, changed = batch.column(text_col).to_pylist(), []
-            for text, spans in zip(texts, batch.column("hit_spans").to_pylist()):
-                if spans:
-                    raw = text.encode()
-                    at = [m.span() for m in _WORD.finditer(raw.translate(NORMAL))]
-                    parts, last = [], 0
-                    for x in spans:
-                        parts.append(raw[last : at[x["a"]][0]])
-                        last = at[x["b"] - 1][1]
-                    text = b"".join([*parts, raw[last:]]).decode()
-                changed.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(changed, batch.schema.field(text_col).type) if c == text_col else batch.column(c) for c in batch.schema.names], schema=batch.schema)
-
-    out = hits.mapInArrow(cut, hits.schema)
-    if chars_col in kept:
-        out = out.withColumn(chars_col, F.when(F.size("hit_spans") > 0, F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
-    return out.select(*kept)
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without these words and what lies between those of a span."""
+    raw = text.encode()
+    words = [m.span() for m in _WORD.finditer(raw.translate(NORMAL))]
+    parts, last = [], 0
+    for a, b in spans:
+        parts.append(raw[last : words[a][0]])
+        last = words[b - 1][1]
+    return b"".join([*parts, raw[last:]]).decode()
+
+
+def remove_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", most_covered: float = MOST_COVERED, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs without the words that windows cover. A document of which more than most_covered is hit goes whole.
+
+    chars_col, if docs has it, follows the text of the documents that are cut.
+    """
+    (cut,) = new_names(docs.columns, "cut")
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{cut}` boolean").fields])
+    at = docs.columns.index(text_col)
+
+    def last(columns: list, words: list, spans: list, items: list) -> pa.RecordBatch:
+        stays = [sum(b - a for a, b in s) <= n * most_covered for n, s in zip(words, spans)]
+        changed = [without(t, s) if s and k else t for t, s, k in zip(columns[at].to_pylist(), spans, stays)]
+        columns[at] = pa.array(changed, columns[at].type)
+        return pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in spans])], names=schema.names).filter(pa.array(stays, pa.bool_()))
+
+    out = _read(docs, benchmark, text_col, "item_id", "text", window, block_words, tuple(new_names(docs.columns, *FOUND)), last, schema)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.when(F.col(cut), F.length(text_col)).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
 
 
 def op3(spark, sf_dir):

@@ -6,30 +6,36 @@ it. Per language, the share of a text's n-grams that hit is corrected for the fi
 false-positive rate (fill to the power of probes); the greatest corrected share decides and is
 the score.
 
-The model learns from a bounded sample: of each language the TRAIN_DOCS rows with the least
-hash of their id, among rows with a language whose crc32(id as text) mod 5 is not 0. Every
-language with a letter in its sample is learned: 64 share a table of bitmasks, further ones take
-further tables. Prediction reads whole texts and nothing else.
-
-Defined results: a text that is null or has no letter is `und` with score 0, and so is every
-text if nothing could be learned. Ties go to the language with more labelled rows. Rows that share an
-id are judged apart. A null id is held out. An empty table gives no rows.
+The model learns from a bounded sample: about TRAIN_DOCS rows of each language, among rows with
+a language whose crc32(id as text) mod 5 is not 0. The hash of a row's id and text decides, below
+a threshold that follows from the language's count, so no ranking of all rows is needed. Every
+language with a letter in its sample is learned, with every n-gram that enough of its documents
+hold: 64 languages share a table of bitmasks, further ones take further tables. Prediction reads
+whole texts and nothing else, a bounded run of characters at a time.
+
+Defined results: a text that is null, empty or has no letter is `und` with score 0, and so is
+every text if nothing could be learned. Ties go to the language with more labelled rows. Rows
+that share an id are judged apart; repeated rows get equal results and count once in the sample.
+A null id is held out. An empty table gives no rows. Columns of the table with the names of the
+result's give way to it; keep_identified() looks at no column but the text and keeps all.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import in_blocks, rows, table, utf8
+from .common import in_blocks, new_names, rows, stored, table, utf8
 from .shingles import mix
 
 UNKNOWN = "und"
 FOLDS = 5
-TRAIN_DOCS, TRAIN_GRAMS, WORD_BITS = 1500, 150_000, 64
+TRAIN_DOCS, WORD_BITS = 1500, 64
+#: Characters whose n-grams are in memory at a time.
+RUN, BLOCK_BYTES = 1 << 16, 500_000
 #: An n-gram must occur in so many documents of a language's sample, and in this share of them: more than wrong labels make.
 LEAST_DOCS, LEAST_SHARE = 3, 0.005
 SIZES, PROBES = (3, 4), 2
@@ -46,38 +52,44 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def n_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of words (with a blank on either side), the text each is of, and which texts have a letter.
+def runs_of_n_grams(texts: list[bytes]):
+    """First which texts have a letter. Then, run by run, hashes of the n-grams of words (with a blank on either side) and the text each is of.
 
     Letters are lower-cased; all else is a blank, and runs of blanks count once.
     """
     text = "".join(" " + x.decode("utf-8", "replace").replace("\0", " ").lower() + "\0" for x in texts)
     code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    del text
     ends = np.flatnonzero(code == 0)
     letter = letters()[code]
-    code = np.where(letter, code, 32)
-    owner = np.searchsorted(ends, np.arange(len(code)), side="left")
+    code = np.where(letter, code, np.uint32(32))
+    owner = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=-1))
     keep = letter | np.insert(letter[:-1], 0, True)  # the first blank of a run, or of a text
     keep[ends] = keep[np.insert(ends[:-1] + 1, 0, 0)] = True
-    code, owner, letter = code[keep].astype(np.uint64), owner[keep], letter[keep]
+    code, owner, letter = code[keep], owner[keep], letter[keep]
     has = np.zeros(len(texts), bool)
     has[owner[letter]] = True
-    hashes, owners = [], []
+    yield has
     for n in SIZES:
-        if len(code) < n:
-            continue
-        h = np.zeros(len(code) - n + 1, np.uint64)
-        inner = np.ones(len(h), bool)
-        for i in range(n):
-            part = slice(i, len(code) - n + 1 + i)
-            h = h * np.uint64(0x100000001B3) + code[part]
-            if 0 < i < n - 1:
-                inner &= letter[part]
-        inner &= owner[: len(h)] == owner[n - 1 :]
-        inner &= letter[1 : len(h) + 1]
-        hashes.append(mix(h[inner] + np.uint64(n)))
-        owners.append(owner[: len(h)][inner])
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64), has
+        for first in range(0, len(code) - n + 1, RUN):
+            count = min(RUN, len(code) - n + 1 - first)
+            h = np.zeros(count, np.uint64)
+            inner = letter[first + 1 : first + 1 + count].copy()
+            for i in range(n):
+                part = slice(first + i, first + i + count)
+                h *= np.uint64(0x100000001B3)
+                h += code[part]
+                if 1 < i < n - 1:
+                    inner &= letter[part]
+            inner &= owner[first : first + count] == owner[first + n - 1 : first + n - 1 + count]
+            yield mix(h[inner] + np.uint64(n)), owner[first : first + count][inner]
+
+
+def n_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of the texts' n-grams, the text each is of, and which texts have a letter."""
+    runs = runs_of_n_grams(texts)
+    has, found = next(runs), list(runs)
+    return np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in found)]), np.concatenate([np.zeros(0, np.int32), *(o for _, o in found)]), has
 
 
 def least_docs(sampled: int) -> int:
@@ -104,17 +116,17 @@ class Masks:
         for k in range(PROBES):
             yield (hashes >> np.uint64(k * 24) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
-    def shares(self, hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
-        """(texts, languages) corrected shares."""
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """(texts, languages) n-grams that each language may hold."""
         mask = np.full(len(hashes), ~self.rows.dtype.type(0), dtype=self.rows.dtype)
         for at in self.slots(hashes):
             mask &= self.rows[at]
-        total = np.maximum(np.bincount(owner, minlength=texts), 1)
-        out = np.zeros((texts, len(self.languages)))
-        for i in range(len(self.languages)):
-            hits = np.bincount(owner, weights=(mask >> self.rows.dtype.type(i) & self.rows.dtype.type(1)), minlength=texts)
-            out[:, i] = np.clip((hits / total - self.false[i]) / (1 - self.false[i]), 0, 1)
-        return out
+        kind = self.rows.dtype.type
+        return np.stack([np.bincount(owner, weights=mask >> kind(i) & kind(1), minlength=texts) for i in range(len(self.languages))], axis=1)
+
+    def shares(self, hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Hits among so many n-grams of each text, corrected for what falls into a filter by chance."""
+        return np.clip((hits / np.maximum(total, 1)[:, None] - self.false) / (1 - self.false), 0, 1)
 
 
 class Filters:
@@ -127,8 +139,14 @@ class Filters:
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) corrected shares; which texts have a letter."""
-        hashes, owner, has = n_grams(texts)
-        return np.concatenate([m.shares(hashes, owner, len(texts)) for m in self.masks], axis=1), has
+        runs = runs_of_n_grams(texts)
+        has, total = next(runs), np.zeros(len(texts))
+        hits = [np.zeros((len(texts), len(m.languages))) for m in self.masks]
+        for hashes, owner in runs:
+            total += np.bincount(owner, minlength=len(texts))
+            for m, h in zip(self.masks, hits):
+                h += m.hits(hashes, owner, len(texts))
+        return np.concatenate([m.shares(h, total) for m, h in zip(self.masks, hits)], axis=1), has
 
     def decide(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         if not self.languages:
@@ -143,19 +161,21 @@ def fold(id_col: str):
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Filters:
-    """Filters from the sample of labelled rows. What comes to the driver is bounded by the languages and TRAIN_GRAMS."""
-    rows_ = docs.filter(F.col(lang_col).isNotNull() & (fold(id_col) != 0))
-    common = {r["lang"]: r["count"] for r in rows_.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()}
+    """Filters from the sample of labelled rows. What comes to the driver is bounded by the languages and their samples."""
+    spark = docs.sparkSession
+    rows_ = docs.filter(F.col(lang_col).isNotNull() & (fold(id_col) != 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("pick"))
+    common = {r["lang"]: r["count"] for r in rows_.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not common:
         return Filters({})
-    # rank limits apply before the shuffle, so a language that most rows share costs train_docs rows a task
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
-    sample = rows_.select(F.col(id_col), F.col(lang_col)).withColumn("_n", rank).filter(F.col("_n") <= train_docs).select(F.col(id_col)).distinct()
-    chosen = rows_.join(F.broadcast(sample), id_col, "left_semi").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # a row is in the sample if its hash is below the share that is asked for: no language's rows meet in one task
+    shares = spark.createDataFrame([(x, min(1.0, train_docs / n)) for x, n in common.items()], "lang string, share double")
+    place = (F.col("pick").cast("double") / 2.0**63 + 1) / 2
+    chosen = stored(rows_.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "pick", "text").dropDuplicates(["lang", "pick"]), "language-sample")
+    sampled = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(batches):
-        for batch in in_blocks(batches, "text"):
+        for batch in in_blocks(batches, "text", BLOCK_BYTES):
             languages = np.asarray(batch.column("lang").to_pylist(), dtype=object)
             hashes, owner, _ = n_grams(utf8(batch.column("text")))
             for language in sorted(set(languages.tolist())):
@@ -167,28 +187,29 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 gram, n = np.unique(h[once], return_counts=True)
                 yield rows(schema, {"lang": [language] * len(gram), "gram": gram.view(np.int64), "n": n})
 
+    counts = stored(chosen.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+
     def grams(least: dict[str, int]) -> dict[str, np.ndarray]:
         """The n-grams of each of these languages that enough of its documents hold."""
-        asked = F.broadcast(docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long"))
-        counts = chosen.join(asked.select("lang"), "lang", "left_semi").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        enough = counts.join(asked, "lang").filter(F.col("n") >= F.col("least")).withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_n") <= TRAIN_GRAMS)
-        found = enough.select("lang", "gram").toArrow().to_pandas()
+        asked = F.broadcast(spark.createDataFrame(list(least.items()), "lang string, least long"))
+        found = counts.join(asked, "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram").toArrow().to_pandas()
         return {x: part["gram"].to_numpy().astype(np.int64).view(np.uint64) for x, part in found.groupby("lang")}
 
-    parts = grams({x: least_docs(min(n, train_docs)) for x, n in common.items()})
-    if rest := [x for x in common if x not in parts]:
+    parts = grams({x: least_docs(n) for x, n in sampled.items()}) if sampled else {}
+    if rest := [x for x in sampled if x not in parts]:
         parts |= grams(dict.fromkeys(rest, 1))  # no n-gram is in enough documents: all count
     return Filters({x: parts[x] for x in common if x in parts})
 
 
 def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with the predicted language and its score."""
-    held = docs.sparkSession.sparkContext.broadcast(filters)  # languages x TRAIN_GRAMS
+    """docs with the predicted language and its score; columns of docs with these names give way."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (lang_col.lower(), score_col.lower()) or c == text_col])
+    held = docs.sparkSession.sparkContext.broadcast(filters)  # the languages' n-grams, of a bounded sample
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"`{lang_col}` string, `{score_col}` double").fields])
     at = docs.columns.index(text_col)
 
     def predict(batches):
-        for batch in in_blocks(batches, text_col):
+        for batch in in_blocks(batches, text_col, BLOCK_BYTES):
             languages, scores = held.value.decide(utf8(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
@@ -197,8 +218,9 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text", lang_col
 
 def keep_identified(docs: DataFrame, filters: Filters, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
     """docs without those of no language, or of none with enough certainty."""
-    marked = identify(docs, filters, text_col, "_lang_pred", "_lang_score")
-    return marked.filter((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(*docs.columns)
+    lang, score = new_names(docs.columns, "lang_pred", "score")
+    marked = identify(docs, filters, text_col, lang, score)
+    return marked.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def op7(spark, sf_dir):

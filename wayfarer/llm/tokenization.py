@@ -15,6 +15,8 @@ import re
 import numpy as np
 import regex
 
+from .common import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -95,11 +97,6 @@ class Encoder:
         return [self.whole(t) if x is None else b"".join(map(ids, x)) for t, x in zip(texts, split)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    """This worker's encoder; loaded once, kept while the worker lives."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    """This worker's encoder; loaded once, kept as long as the worker does nothing else."""
+    return kept(("encoder", name), lambda: Encoder(name))
