@@ -21,8 +21,11 @@ pairs that cannot link before any text is fetched.
 
 Defined results: null and texts without words have an empty set and link with nothing. A text
 of fewer than four words has one shingle, the whole of it. Rows that share an id are sets of
-their own; component_id is the least id. A null id sorts first. An empty table gives no rows.
-Tokens are 64-bit hashes. Columns other than the two named are not looked at.
+their own; component_id is the least id. A null id sorts first and is equal to other null ids.
+Repeated rows are equal sets, so they link if they have a word. Ties don't matter: components
+are the same in any order. Long texts are read whole. An empty table gives no rows.
+Tokens are 64-bit hashes over the words' own xxh3 hashes. Columns other than the two named are
+not looked at, and columns of the table with clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, partitions, rows, squeezed, stored, table, unsqueezed, utf8
+from .common import in_blocks, least_count, new_names, partitions, rows, settled, squeezed, stored, table, unsqueezed, utf8
 from .components import components
 from .shingles import LOWER, mix, window_hashes, word_hashes
 
@@ -178,6 +181,10 @@ def _key(id_col: str, text_col: str) -> dict:
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, more: list[str]) -> DataFrame:
     """doc, n, root and more (content or nothing) of every row; root is null for an empty set."""
+    return settled(docs.sparkSession, lambda: _place(docs, id_col, text_col, k, percent, more), "placed")
+
+
+def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, more: list[str]) -> DataFrame:
     spark = docs.sparkSession
     shuffle = partitions(spark)
     buckets = 4 * shuffle
@@ -209,8 +216,9 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
     described = stored(texts.mapInArrow(describe, ", ".join(["bucket int, packed binary, doc long, n long, cls long, sketch binary", *(f"{c} long" for c in more)])), "shingle-sets")
     members = described.filter("bucket is null").select("doc", "n", "cls", *more)
     classes = described.filter("cls is not null").select("cls", "n", "sketch")
-    counts = deal(described.filter("bucket is not null").select("bucket", "packed")).mapInArrow(total, "token long, n long")
-    top = counts.orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token").toArrow().column("token").to_numpy()
+    counts = stored(deal(described.filter("bucket is not null").select("bucket", "packed")).mapInArrow(total, "token long, n long"), "token-counts")
+    least = least_count(counts, "n", MOST_FREQUENT)
+    top = counts.filter(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))  # at most 8 x MOST_FREQUENT bytes
 
     def index(batches):
@@ -414,14 +422,14 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, m
     left = stored(apart(left, three, pairs.unionByName(tree_pairs)), "pairs-left")
     roots = components(edges(three).unionByName(verified(left)))
     placed = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    return stored(placed.select("doc", "n", "root", *more), "placed")
+    return placed.select("doc", "n", "root", *more)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """docs with one row of each component: one whose id is the component's."""
-    key = ["_doc", "_content"]
-    placed = _placed(docs, id_col, text_col, k, percent, ["content"]).filter("root is not null").withColumnsRenamed({"doc": "_doc", "content": "_content"})
-    kept = placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keep"), F.count("*").alias("members")).filter("members > 1")
+    key = new_names([*docs.columns, "doc", "content", "n", "root", "keep", "members", "stays"], "doc", "content")
+    placed = _placed(docs, id_col, text_col, k, percent, ["content"]).filter("root is not null").withColumnsRenamed(dict(zip(("doc", "content"), key)))
+    kept = stored(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keep"), F.count("*").alias("members")).filter("members > 1"), "near-groups")
     met = placed.join(kept, "root").withColumn("stays", F.struct(*key) == F.col("keep"))
     gone = met.filter("not stays").select(*key).distinct()
     again = stored(met.filter("stays").groupBy(*key).count().filter("count > 1").select(*key), "near-again")

@@ -1,16 +1,17 @@
-"""Hashes of words and of word windows over whole blocks of texts, as array operations.
+"""Hashes of words and of word windows over whole blocks of texts.
 
-A word's hash is a polynomial over its bytes, taken from prefix sums, so no word becomes an
-object. Windows of words are hashed the same way over the words' hashes.
+Each word is hashed by itself with xxh3, so no pair of words is made to collide by its letters.
+Windows of words are polynomials over the words' hashes, taken from prefix sums.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import xxhash
 
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95  # odd, so that they have inverses modulo 2**64
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_STEP = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2**64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -27,7 +28,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_of_bytes, _of_words = _Powers(_BASE), _Powers(_STEP)
+_of_words = _Powers(_STEP)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,16 +40,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words [^\\x20\\x09-\\x0D]+ of the texts, one after another; where each text's words begin (one more at the end)."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    space = _SPACES[raw]
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
-    starts, ends = edge[0::2], edge[1::2]  # of words
-    up, down = _of_bytes.get(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    words = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    return words, np.concatenate([[0], np.searchsorted(starts, text_ends)])
+    split = [t.split() for t in texts]  # of bytes: at exactly these six
+    bounds = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, split), np.int64, len(split)), out=bounds[1:])
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(split)), np.uint64, int(bounds[-1])), bounds
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
