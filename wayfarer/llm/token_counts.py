@@ -1,13 +1,15 @@
 """Token counts by a join of per-document pre-token frequencies with the pieces of each distinct pre-token.
 
-Every distinct pre-token of the corpus is counted once by the library. The most frequent ones,
-a bounded number, go to every worker; what they cover is summed where the document is read.
-The others, rare by definition, are joined by a shuffle on the pre-token. Ids are never built
-per document.
-
-Defined results: a null text counts as empty and has no tokens. A special token's string is one
-token, as the library's default has it. Rows that share an id are counted apart. An empty table
-gives no rows. Other columns are not looked at.
+Every distinct pre-token of the corpus is counted once by the library. The join with the
+documents' frequencies has two branches: the pre-tokens above a count, whatever their length and
+with a bounded number and bytes, are broadcast and joined where the document is read; the others,
+rare by definition, are joined by a shuffle on the pre-token. The least count follows from a
+histogram, so nothing is sorted or gathered to find it. Ids are never built per document.
+
+Defined results: a null or empty text has no tokens. A special token's string is one token, as the
+library's default has it. Rows that share an id, have none or are repeated are counted apart, a
+row each. Long texts are counted whole; ties between counts fall on the same side of the least
+one. An empty table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_blocks, partitions, rows, stored, table, utf8
+from .common import in_blocks, least_count, rows, stored, table, utf8
 from .tokenization import BYTE_BPE, encoder
 
 LIMIT = 1024
-#: Pre-tokens that go to every worker, and the longest of them: the bound of what is broadcast.
-MOST_FREQUENT, MOST_CHARS = 200_000, 48
+#: Pre-tokens that go to every worker, and their bytes together: the bounds of what is broadcast.
+MOST_FREQUENT, MOST_BYTES = 200_000, 8_000_000
 
 
 def frequencies(texts: list[bytes], vocabulary: str) -> tuple[list[list[str]], list[int]]:
@@ -74,8 +76,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     distinct = distinct_pre_tokens(texts, vocabulary)
-    frequent = distinct.filter(F.length("piece") <= MOST_CHARS).orderBy(F.desc("n"), "piece").limit(most_frequent)
-    known = dict(zip(*[frequent.select("piece", "pieces").toArrow().column(i).to_pylist() for i in (0, 1)])) if most_frequent else {}
+    distinct = distinct.withColumn("size", F.octet_length("piece"))
+    least = max(least_count(distinct, "n", most_frequent), least_count(distinct, "n", MOST_BYTES, F.col("size")))
+    frequent = distinct.filter(F.col("n") >= least).select("piece", "pieces").toArrow()
+    known = dict(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist()))
     held = spark.sparkContext.broadcast(known)
 
     def join(batches):
