@@ -7,9 +7,13 @@ length. The reader groups continuation records by origin, orders them by segment
 verifies numbers and total length, and decodes the framing. Pages whose payload equals an
 earlier one's become revisit records without a payload.
 
-Archives are gzip files written and read by Spark's own sources. Each record ends in two line
-breaks, the last line feed being the sink's, so a file is a plain sequence of records. Whole
-records are parsed where the file is read; only segmented ones are shuffled.
+Archives are gzip files of a bounded number of records, written and read by Spark's own sources.
+Each record ends in two line breaks, the last line feed being the sink's, so a file is a plain
+sequence of records in one gzip member. The reader takes archives of others as well: a member for
+each record, plain files, any case and spacing of header fields; records that hold no page are
+passed over, and a response without a page number has a null one. It unpacks a file piece by
+piece and holds a record at a time. Whole records are parsed where the file is read; only segmented
+ones are shuffled.
 
 Defined results: a null html has an empty payload, a null url an empty target. Every row gives
 a record. Rows that share a page id and a payload are all responses, or all revisits of an
@@ -22,7 +26,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +37,12 @@ from pyspark.sql import functions as F
 from .common import in_blocks, partitions, rows, scratch, stored, table, utf8
 
 SEGMENT_BYTES, CHUNK_BYTES, LEAST_REVISIT = 16_384, 4096, 0
+#: Records of a file, each of a segment at most, and compressed bytes that the reader unpacks at a time.
+FILE_RECORDS, PIECE_BYTES = 4096, 65_536
 NO_ID = -(2**63)
 _DATE = b"2024-01-01T00:00:00Z"
 _BREAK = b"\r\n"
+_NUMBER = re.compile(rb"-?[0-9]{1,19}")
 
 
 def digest_of(payload: bytes) -> str:
@@ -82,26 +91,69 @@ def response(page: int, url: str, payload: bytes, segment_bytes: int, copy: str
         yield record(b"continuation" if i else b"response", f"{name}-{i + 1}" if i else name, part, *(about if not i else about[:1]), *more)
 
 
-def parse(content: bytes):
-    """(fields, block) of each record; raises ValueError where the archive is broken."""
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """What a file holds, piece by piece: of a gzip file all members, one after another."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
     at = 0
     while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].split(_BREAK)
-        if not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(x.split(b": ", 1) for x in lines[1:])
-        size = int(fields[b"Content-Length"])
-        block = content[end + 4 : end + 4 + size]
-        if len(block) != size or content[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} has another length than it states")
-        yield fields, block
-        at = end + 8 + size
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("the file ends within a gzip member")
+            piece = content[at : at + PIECE_BYTES]
+            at += len(piece)
+            if data := member.decompress(piece):
+                yield data
+        at -= len(member.unused_data)
+        while content[at : at + 1] in (b"\0", b"\r", b"\n"):  # some writers pad
+            at += 1
+
+
+def fields_of(head: bytes) -> dict[bytes, bytes]:
+    """Header fields by their names in lower case; a line that begins with white space continues the one before."""
+    out: dict[bytes, bytes] = {}
+    name = b""
+    for line in head.split(_BREAK)[1:]:
+        if line[:1] in (b" ", b"\t") and name:
+            out[name] += b" " + line.strip()
+        else:
+            name, _, value = line.partition(b":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def parse(pieces: bytes | Iterable[bytes]) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """(fields, block) of each record; raises ValueError where the archive is broken. Holds a record and a piece at a time."""
+    source, held, before = iter([pieces] if isinstance(pieces, bytes) else pieces), bytearray(), 0
+
+    def have(n: int) -> bool:
+        while len(held) < n and (piece := next(source, None)) is not None:
+            held.extend(piece)
+        return len(held) >= n
+
+    while have(1):
+        searched = 0
+        while (end := held.find(b"\r\n\r\n", max(0, searched - 3))) < 0:
+            searched = len(held)
+            if not have(searched + 1):
+                raise ValueError(f"no record at byte {before}")
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no record at byte {before}")
+        fields = fields_of(bytes(held[:end]))
+        size = int(fields[b"content-length"])
+        if not have(end + 8 + size) or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {before} has another length than it states")
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        before += end + 8 + size
+        del held[: end + 8 + size]
 
 
 def payload_of(block: bytes) -> bytes:
     head, _, body = block.partition(b"\r\n\r\n")
-    return unchunked(body) if b"chunked" in head.lower() else body
+    return unchunked(body) if b"chunked" in fields_of(head).get(b"transfer-encoding", b"").lower() else body
 
 
 def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVISIT, segment_bytes: int = SEGMENT_BYTES) -> None:
@@ -140,7 +192,7 @@ def write_archives(pages: DataFrame, path: str, least_revisit: int = LEAST_REVIS
         plain = numbered.groupBy(*key).agg(F.min("number").alias("plain"))
         numbered = numbered.join(plain, key).withColumn("copy", F.when(F.col("number") != F.col("plain"), F.col("number")))
         marked = marked.filter("repeated is null").withColumn("copy", F.lit(None).cast("long")).drop("repeated").unionByName(numbered.drop("repeated", "number", "plain"))
-    marked.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    marked.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -148,35 +200,37 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("page", pa.int64()), ("bytes", pa.int64()), ("digest", pa.string()), ("kind", pa.string()), ("refers", pa.int64())])
     ddl = "origin string, segment int, total long, block binary, page long, bytes long, digest string, kind string, refers long"
 
-    def whole(page: int, claimed: bytes, payload: bytes) -> dict:
+    def whole(page: int | None, claimed: str, payload: bytes) -> dict:
         digest = digest_of(payload)
-        if claimed.decode() != f"sha1:{digest}":
+        if claimed.lower().startswith("sha1:") and claimed[5:] != digest:
             raise ValueError(f"page {page}: its payload has another digest than its record states")
         return {"page": page, "bytes": len(payload), "digest": digest, "kind": "response"}
 
-    def unpacked(content: bytes) -> bytes:
-        return zlib.decompressobj(31).decompress(content)
+    def number(x: bytes | None) -> int | None:
+        return int(x) if x is not None and _NUMBER.fullmatch(x) else None
 
     def batch_of(found: list[dict]) -> pa.RecordBatch:
         return rows(schema, {f.name: [x.get(f.name) for x in found] for f in schema})
 
     def read(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
+            for content in batch.column("content"):
                 found, size = [], 0
-                for fields, block in parse(unpacked(content)) if content else ():
-                    kind = fields[b"WARC-Type"]
+                for fields, block in parse(unpacked(content.as_py())):
+                    kind, page, digest = fields[b"warc-type"].lower(), number(fields.get(b"x-page")), fields.get(b"warc-payload-digest", b"").decode()
                     if kind == b"revisit":
-                        refers = int(fields[b"WARC-Refers-To"].split(b":")[-1].rsplit(b"-", 1)[0])
-                        found.append({"page": int(fields[b"X-Page"]), "digest": fields[b"WARC-Payload-Digest"].decode().split(":")[1], "kind": "revisit", "refers": refers})
-                    elif b"WARC-Segment-Number" not in fields:
-                        found.append(whole(int(fields[b"X-Page"]), fields[b"WARC-Payload-Digest"], payload_of(block)))
+                        refers = fields.get(b"warc-refers-to", b"").strip(b"<>").split(b":")[-1].rsplit(b"-", 1)[0]
+                        found.append({"page": page, "digest": digest.split(":")[-1], "kind": "revisit", "refers": number(refers)})
+                    elif kind not in (b"response", b"continuation"):
+                        continue  # warcinfo, request, metadata and the like hold no page
+                    elif b"warc-segment-number" not in fields:
+                        found.append(whole(page, digest, payload_of(block)))
                     else:
-                        origin = fields.get(b"WARC-Segment-Origin-ID", fields[b"WARC-Record-ID"]).decode()
-                        about = {"page": int(fields[b"X-Page"]), "digest": fields[b"WARC-Payload-Digest"].decode()} if kind == b"response" else {}
-                        found.append(about | {"origin": origin, "segment": int(fields[b"WARC-Segment-Number"]), "total": int(fields.get(b"WARC-Segment-Total-Length", 0)) or None, "block": block})
+                        origin = fields.get(b"warc-segment-origin-id", fields[b"warc-record-id"]).decode()
+                        about = {"page": page, "digest": digest} if kind == b"response" else {}
+                        found.append(about | {"origin": origin, "segment": int(fields[b"warc-segment-number"]), "total": number(fields.get(b"warc-segment-total-length")), "block": block})
                         size += len(block)
-                    if size > 4_000_000:
+                    if size > 2_000_000 or len(found) > 4096:
                         yield batch_of(found)
                         found, size = [], 0
                 yield batch_of(found)
@@ -187,9 +241,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
         def close():
             block = b"".join(parts)
-            if about.get("total") != len(block) or about.get("page") is None:
+            if about.get("total") != len(block):
                 raise ValueError(f"{about.get('origin')}: its segments make {len(block)} bytes of {about.get('total')}")
-            return whole(about["page"], about["digest"].encode(), payload_of(block))
+            return whole(about.get("page"), about.get("digest", ""), payload_of(block))
 
         done = []
         for batch in batches:
