@@ -1,6 +1,6 @@
 """Token ids on disk as patched frame-of-reference blocks, in ascending order of document id.
 
-Each range of document ids is a shard: a file of segments. A segment holds a header, the
+Each range of document ids is a shard: files of a bounded number of segments. A segment holds a header, the
 documents' ids and lengths, an index of where each block starts, and blocks of 128 ids. A
 block stores its minimum, a bit width chosen as a percentile of the widths its values need,
 the values less the minimum packed at that width, and the outliers that need more bits as
@@ -8,8 +8,9 @@ an exception list (position, upper bits). Files are written and read by Spark's
 sources, so a lost task is simply done again and any file system that Spark knows will do.
 
 Defined results: a null text counts as empty; every document has at least its end id. Rows
-that share an id lie side by side, ordered by text. An empty table gives files without
-segments and no rows. Other columns are not looked at.
+that share an id lie side by side, ordered by a hash of their text; repeated rows each have a place.
+A null id comes before all others. A document longer than a segment is one by itself. An empty
+table gives files without segments and no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import in_blocks, partitions, rows, scratch, stored, table, utf8
 from .tokenization import BYTE_BPE, encoder
 
 BLOCK, END_ID, PERCENTILE = 128, 2, 0.9
+#: Bytes of text that a segment takes (or one longer document), and segments of a file.
+SEGMENT_BYTES, FILE_SEGMENTS = 4_000_000, 16
 MAGIC = b"PFR1"
 HEADER = struct.Struct("<4sIIQQQQ")  # magic, shard, segment, documents, ids, blocks, bytes of the body
 
@@ -139,20 +142,21 @@ NO_ID = -(2**63)
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = BYTE_BPE, end_id: int = END_ID, shards: int | None = None) -> None:
     """Writes the ids of every document to files below path, a file a shard."""
-    end = np.asarray([end_id], dtype="<u4").tobytes()
+    end, segment_bytes = np.asarray([end_id], dtype="<u4").tobytes(), SEGMENT_BYTES
 
     def write(batches):
         encode, number, shard = encoder(vocabulary).encode_all, 0, TaskContext.get().partitionId()
-        for batch in in_blocks(batches, "text", 4_000_000):
+        for batch in in_blocks(batches, "text", segment_bytes):
             ids = [x + end for x in encode(utf8(batch.column("text")))]
             yield pa.RecordBatch.from_arrays([pa.array([segment(shard, number, batch.column("id").to_pylist(), ids)], type=pa.binary())], names=["value"])
             number += 1
 
     spark = docs.sparkSession
-    wanted = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    dealt = wanted.repartitionByRange(shards or 2 * partitions(spark), "id").sortWithinPartitions("id", "text")
+    wanted = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text_col).alias("pick"), F.col(text_col).alias("text"))
+    # rows that share an id can lie in several ranges, so an id that many rows have fills no single task
+    dealt = wanted.repartitionByRange(shards or 2 * partitions(spark), "id", "pick").sortWithinPartitions("id", "pick", "text").select("id", "text")
     # bytes pass through a string column unchanged; the sink adds the line feed after each segment
-    dealt.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.text(path)
+    dealt.mapInArrow(write, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", FILE_SEGMENTS).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -161,8 +165,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for content in batch.column("content").to_pylist():
-                for shard, number, docs, lengths, ids in segments(content):
+            for content in batch.column("content"):
+                for shard, number, docs, lengths, ids in segments(content.as_py()):
                     bounds = np.concatenate([[0], np.cumsum(lengths)])
                     crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                     n = len(docs)
