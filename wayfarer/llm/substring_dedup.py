@@ -11,10 +11,12 @@ so a passage that a third of the corpus shares costs an entry a block and not on
 occurrence. Documents meet their answers bucket by bucket in a sorted stream, so a task holds
 the answers of one bucket and one batch of texts.
 
-Windows are equal when their 64-bit hashes are. Defined results: null has no words. Rows that
-are equal in id and text are one document and get equal results; rows with one id and
-different texts are told apart by start alone. A null id sorts before all others. An empty
-table gives no rows. Columns other than the two named are not looked at.
+Windows are equal when 96 bits of hash are, over the words' own xxh3 hashes. Defined results: a
+null or empty text has no words. Rows that are equal in id and text are one document and get equal
+results; rows with one id and different texts are told apart by start alone. A null id sorts before
+all others. Ties can't arise otherwise, since a place is a document and a start. Long texts are read
+whole. An empty table gives no rows. Columns other than the two named are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ BLOCK_BYTES = 1_500_000
 #: Answers that a task gathers before it sends them on.
 MOST_HELD = 1_000_000
 _ASK = np.dtype([("hash", "<u8"), ("doc", "<i8")])
-_PLACE = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("start", "<u4")])
+#: As it is sent: the bucket that waits for the answer is all that is needed of the document.
+_SENT = np.dtype([("hash", "<u8"), ("to", "<u4")])
+#: A full window is known by 96 bits, hash and check.
+_PLACE = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("start", "<u4")])
 _FIRST = np.dtype([("doc", "<i8"), ("start", "<u4")])
 _HASH = np.dtype("<u8")
 
@@ -85,10 +90,12 @@ def grouped(batches, kind: np.dtype):
         yield None, np.concatenate(parts)
 
 
-def first_rows(entries: np.ndarray, *by: str) -> np.ndarray:
-    """Entries sorted by the fields, one of each value of the first."""
-    entries = entries[np.lexsort(tuple(entries[f] for f in reversed(by)))]
-    return entries[np.insert(entries[by[0]][1:] != entries[by[0]][:-1], 0, True)] if len(entries) else entries
+def first_places(places: np.ndarray) -> np.ndarray:
+    """The first place of each window, by document and start."""
+    if not len(places):
+        return places
+    places = places[np.lexsort((places["start"], places["doc"], places["check"], places["hash"]))]
+    return places[np.insert((places["hash"][1:] != places["hash"][:-1]) | (places["check"][1:] != places["check"][:-1]), 0, True)]
 
 
 def questions(words, bounds, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +136,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             words, bounds = word_hashes(utf8(batch.column("text")))
             asked, known = questions(words, bounds, batch.column("doc").to_numpy(), window)
             if len(asked):
-                yield packed_rows(asked, hash_bucket(asked["hash"], buckets))
+                sent = np.empty(len(asked), _SENT)
+                sent["hash"], sent["to"] = asked["hash"], doc_bucket(asked["doc"], buckets)
+                yield packed_rows(sent, hash_bucket(sent["hash"], buckets))
             if len(known):
                 yield packed_rows(known["hash"], doc_bucket(known["doc"], buckets), 1)
 
     def survive(batches):
         """Hashes that two blocks hold, for the bucket of each document that asked."""
         found: list = []  # (hashes, the buckets they go to), of several buckets, so that rows follow the tasks
-        for bucket, entries in grouped(batches, _ASK):
+        for bucket, entries in grouped(batches, _SENT):
             if bucket is not None:
                 hashes = np.frombuffer(entries, _HASH)
                 found.append((hashes, np.full(len(hashes), bucket, np.int64)))
@@ -144,7 +153,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 entries = entries[np.argsort(entries["hash"], kind="stable")]
                 same = entries["hash"][1:] == entries["hash"][:-1]
                 kept = entries[np.append(same, False) | np.insert(same, 0, False)]
-                found.append((kept["hash"], doc_bucket(kept["doc"], buckets)))
+                found.append((kept["hash"], kept["to"].astype(np.int64)))
             if sum(len(x) for x, _ in found) > MOST_HELD:
                 yield answers_of(found)
                 found = []
@@ -191,9 +200,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if len(at):
                 places = np.empty(len(at), _PLACE)
                 # twice the length, from two halves
-                places["hash"] = mix(halves[at] * np.uint64(0x9FB21C651E98DF25) + halves[at + window // 2])
+                one, two = halves[at], halves[at + window // 2]
+                places["hash"] = mix(one * np.uint64(0x9FB21C651E98DF25) + two)
+                places["check"] = (mix(two * np.uint64(0xC2B2AE3D27D4EB4F) ^ one) >> np.uint64(32)).astype(np.uint32)
                 places["doc"], places["start"] = ids[text], at - bounds[text]
-                places = first_rows(places, "hash", "doc", "start")
+                places = first_places(places)
                 found = packed_rows(places, hash_bucket(places["hash"], buckets))
                 yield rows(schema, {f.name: found.column(f.name) if f.name in found.schema.names else [None] * len(found) for f in schema})
             counts = np.bincount(text, minlength=len(data)).tolist()
@@ -210,7 +221,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def firsts(batches):
         held: list = []
         for _, places in grouped(batches, _PLACE):
-            places = first_rows(places, "hash", "doc", "start")
+            places = first_places(places)
             found = np.empty(len(places), _FIRST)
             found["doc"], found["start"] = places["doc"], places["start"]
             held.append(found)
