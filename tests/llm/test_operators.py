@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayfarer.llm import components, decontamination, exact_dedup, language_id, ngram_join, packing, pii, substring_dedup, token_counts, token_files, tokenization, warc
+from wayfarer.llm.common import table
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = [f"w{i}" for i in range(400)] + ["über", "Été", "don't", "x.y", "Z"]
@@ -116,13 +121,13 @@ def test_benchmark(spark, docs, empty):
                     hit.update(range(s, s + n))
                     found.add(str(name))
         want[i] = (len(w), len(hit), sorted(found))
-    plain = docs.select("doc_id", "text")
+    plain = docs.withColumns({"Hit_Spans": F.lit(1), "cut": F.lit("c")})  # n_words is there too
     for block_words in (10_000, 20):  # one automaton, and several
         got = {r.doc_id: (r.n_words, sum(s.b - s.a for s in r.hit_spans), sorted(r.hit_items)) for r in decontamination.benchmark_hits(plain, bench, block_words=block_words).collect()}
         assert got == want
     clean = decontamination.remove_benchmark(plain, bench)
-    assert clean.columns == plain.columns and all(not x.hit_spans for x in decontamination.benchmark_hits(clean, bench).collect() if len(norm(x.text)) > 200)
-    assert decontamination.benchmark_hits(empty.select("doc_id", "text"), bench).count() == 0 and decontamination.benchmark_hits(plain, bench.limit(0)).filter("size(hit_spans) > 0").count() == 0
+    assert clean.columns == plain.columns and {x.n_words for x in clean.collect()} == {"clash"} and all(not x.hit_spans for x in decontamination.benchmark_hits(clean, bench).collect() if len(norm(x.text)) > 200)
+    assert decontamination.benchmark_hits(empty, bench).count() == 0 and decontamination.benchmark_hits(plain, bench.limit(0)).filter("size(hit_spans) > 0").count() == 0
 
 
 def library(name):
@@ -198,13 +203,13 @@ def test_personal_data(docs, empty):
     digits = lambda x: re.sub("[^0-9]", "", x)
     fine = [lambda x: True, lambda x: all(int(p) <= 255 for p in x.split(".")), lambda x: 14 <= len(digits(x)) <= 19 and pii.luhn(digits(x)), lambda x: 10 <= len(digits(x)) <= 15]
     field, seen = pii.learn(docs), Counter()
-    found = pii.personal_data(docs.select("doc_id", "text"), field).collect()
+    found = pii.personal_data(docs.withColumn("base_spans", F.lit(1)), field).collect()
     for r in found:
         want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in re.finditer(p, r.text or "") if fine[k](m[0]))
         assert [(s.a, pii.KINDS.index(s.kind), s.b) for s in r.base_spans] == want
         assert all(s in r.all_spans for s in r.base_spans)
         seen.update(pii.KINDS[k] for _, k, _ in want)
-    assert set(seen) == set(pii.KINDS) and pii.personal_data(empty.select("doc_id", "text"), field).count() == 0
+    assert set(seen) == set(pii.KINDS) and pii.personal_data(empty, field).count() == 0
 
 
 def test_a_number_written_otherwise_is_found():
@@ -213,7 +218,73 @@ def test_a_number_written_otherwise_is_found():
     agree = np.full((5, 5), -3.0) + 6.0 * np.eye(5)
     text = "ring +17435553824 today . later 743-555-3824 or 17435553824 perhaps"
     base = [pii.base_spans(text)]
-    assert [text[a:b] for a, _, b in pii.Field(weights, agree, agree).added([text], base)[0]] == ["17435553824"]
+    assert [text[a:b] for a, _, b in pii.Field(weights, agree, agree).added([text], base)[0]] == ["743-555-3824", "17435553824"]
+
+
+def test_messages_against_exact_inference():
+    """On graphs without loops the beliefs are the exact marginals; on a loop the best labels agree."""
+    r = np.random.default_rng(4)
+    for edges, far, loop in (([(0, 1), (1, 2), (1, 3), (3, 4)], [], False), ([(0, 1), (2, 3)], [(4, 2)], False), ([(0, 1), (1, 2), (2, 0), (3, 4)], [], True)):
+        sym = lambda a: a + a.T
+        field = pii.Field(r.normal(size=(pii.FEATURES, 5)), sym(r.normal(size=(5, 5)) * 0.5), sym(r.normal(size=(5, 5)) * 0.5))
+        x, y = (r.random((5, pii.FEATURES)) < 0.2).astype(float), np.array([0, 0, 3, 0, 0])
+        chain, skip = np.array(edges[:1]), np.array(edges[1:])
+        score = x @ field.weights
+        score[2, 3] += pii.EVIDENCE
+        for node, label in far:
+            score[node] += field.skip[label]
+        exact = np.zeros((5, 5))
+        for labels in itertools.product(range(5), repeat=5):
+            total = sum(score[i, v] for i, v in enumerate(labels)) + sum(field.chain[labels[a], labels[b]] for a, b in chain) + sum(field.skip[labels[a], labels[b]] for a, b in skip)
+            for i, v in enumerate(labels):
+                exact[i, v] += np.exp(total)
+        exact /= exact.sum(axis=1, keepdims=True)
+        got = field.marginals(x, y, chain, skip, np.array(far, np.int64).reshape(-1, 2))
+        assert (got.argmax(axis=1) == exact.argmax(axis=1)).all() if loop else np.abs(got - exact).max() < 0.01
+
+
+def planted(r, kind: int) -> str:
+    if kind == pii.EMAIL:
+        return f"{r.choice(['ann', 'joe.b', 'm_k'])}{r.randrange(1000)}@{r.choice(['x-y', 'mail'])}{r.randrange(99)}.{r.choice(['org', 'co.uk'])}"
+    if kind == pii.IP:
+        return ".".join(str(r.randrange(256)) for _ in range(4))
+    if kind == pii.PHONE:
+        return f"+{r.randrange(1, 99)} ({r.randrange(100, 1000)}) {r.randrange(100, 1000)}-{r.randrange(1000, 10000)}"
+    while not pii.luhn(d := "".join(r.choice("0123456789") for _ in range(16))):
+        pass
+    return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_other_forms_of_what_was_found(spark):
+    """Planted mentions that the patterns miss, beside numbers that are nothing: recall and precision of the added spans."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    field, r = pii.learn(docs), random.Random(3)
+    clean = [x.text for x in docs.filter("not text rlike '[0-9@]' and length(text) between 300 and 5000").select("text").collect()]
+    found, wanted, added = 0, 0, 0
+    for n in range(800):
+        kind, w = n % 4, r.choice(clean).split(" ")
+        value = planted(r, kind)
+        form = pii.other_form(value, kind, r)
+        if pii.base_spans(form):
+            continue
+        w.insert(r.randrange(len(w)), value)
+        w.insert(r.randrange(len(w)), form)
+        for _ in range(3):
+            w.insert(r.randrange(len(w)), r.choice(["12:30", "2024-01-05", "9807915762804490", "555 1234", "3.14", "4.0.", "v1.2.3", "(1)", "1234567", "$1,234,567.00"]))
+        text = " ".join(w)
+        more = field.added([text], [pii.base_spans(text)])[0]
+        wanted, added = wanted + 1, added + len(more)
+        found += any((text[a:b] in form or form in text[a:b]) and k == kind for a, k, b in more)
+    assert wanted > 600 and found >= 0.9 * wanted and added <= 1.05 * found, (wanted, found, added)
+
+
+def test_long_and_repetitive_texts_take_linear_time():
+    field = pii.Field(np.zeros((pii.FEATURES, 5)), np.zeros((5, 5)), np.zeros((5, 5)))
+    for part in ("1", "1.", "a@", "+1((((", "1 ", "a", "1.2.3 ", " at ", "a dot ", "user7x@mail7.org "):
+        text = part * (200_000 // len(part)) + " 1@"
+        began = time.time()
+        field.added([text], [pii.base_spans(text)])
+        assert time.time() - began < 10, part
 
 
 @pytest.mark.parametrize("found_at", [0, 20, 39])
@@ -299,6 +370,50 @@ def test_archives_of_repeated_rows(spark, tmp_path):
         want = Counter((p, len(h.encode()), warc.digest_of(h.encode()), "response" if origin(p, h) == p else "revisit", None if origin(p, h) == p else origin(p, h)) for p, _, h in twice)
         assert Counter(map(tuple, warc.read_archives(spark, str(tmp_path / f"twice{least}")).collect())) == want
         packed = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(str(tmp_path / f"twice{least}")).collect()
-        fields = [f for x in packed for f, _ in warc.parse(zlib.decompress(x.content, 31) if x.content else b"")]
-        names = [f[b"WARC-Record-ID"] for f in fields]
-        assert len(set(names)) == len(names) and {f[b"WARC-Refers-To"] for f in fields if b"WARC-Refers-To" in f} <= set(names)
+        fields = [f for x in packed for f, _ in warc.parse(warc.unpacked(x.content))]
+        names = [f[b"warc-record-id"] for f in fields]
+        assert len(set(names)) == len(names) and {f[b"warc-refers-to"] for f in fields if b"warc-refers-to" in f} <= set(names)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """A member for each record, records without a page, loose header fields, segments in any order over files; and plain files."""
+
+    def made(kind: str, name: str, block: bytes, *more: str) -> bytes:
+        return "\r\n".join(["WARC/1.0", f"WARC-Type:{kind}", f"warc-record-id:   <urn:uuid:{name}>", "WARC-Date: 2020-02-02T02:02:02Z", *more, f"content-length:{len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    payload = "ünü".encode() * 4000
+    http = b"HTTP/1.1 200 OK\r\nX: chunked\r\ntransfer-encoding:  CHUNKED\r\n\r\n" + warc.chunked(payload, 700)
+    plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/plain; x=chunked\r\n\r\nplain body"
+    parts = [http[i : i + 5000] for i in range(0, len(http), 5000)]
+    segments = [made("response" if not i else "continuation", f"s{i}", p, f"WARC-Segment-Number: {i + 1}", *(["X-Page: 7", f"WARC-Payload-Digest: sha1:{warc.digest_of(payload)}"] if not i else ["WARC-Segment-Origin-ID: <urn:uuid:s0>"]), *([f"WARC-Segment-Total-Length: {len(http)}"] if i == len(parts) - 1 else [])) for i, p in enumerate(parts)]
+    others = [made("warcinfo", "w", b"software: x\r\n"), made("request", "q", b"GET / HTTP/1.1\r\n\r\n"), made("response", "r", plain, "X-Page: 3", "WARC-Target-URI: http://a/", " continued"), made("response", "n", plain), made("metadata", "m", b"")]
+    folder = tmp_path / "others"
+    folder.mkdir()
+    member = lambda x: gzip.compress(x)
+    (folder / "part-0.gz").write_bytes(b"".join(map(member, [*others[:3], *segments[::-1][:2]])))
+    (folder / "part-1.gz").write_bytes(b"\r\n".join(map(member, [*segments[::-1][2:], *others[4:]])))
+    (folder / "part-2").write_bytes(others[3])
+    (folder / "part-3").write_bytes(b"")
+    got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(spark, str(folder)).collect()}
+    body = warc.digest_of(b"plain body")
+    assert got == {(7, len(payload), warc.digest_of(payload), "response", None), (3, 10, body, "response", None), (None, 10, body, "response", None)}
+    (folder / "part-1.gz").write_bytes(member(segments[0])[:-30])
+    with pytest.raises(Exception, match="within a gzip member"):
+        warc.read_archives(spark, str(folder)).collect()
+
+
+def test_files_stay_bounded(spark, tmp_path, monkeypatch):
+    """More records and segments than one file may hold."""
+    monkeypatch.setattr(warc, "FILE_RECORDS", 7)
+    monkeypatch.setattr(token_files, "FILE_SEGMENTS", 2)
+    monkeypatch.setattr(token_files, "SEGMENT_BYTES", 300)
+    pages = spark.range(100).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 50) as html").coalesce(2)
+    warc.write_archives(pages, str(tmp_path / "w"), segment_bytes=60)
+    files = lambda x: list((tmp_path / x).glob("part-*"))
+    assert len(files("w")) > 20 and max(sum(1 for _ in warc.parse(warc.unpacked(f.read_bytes()))) for f in files("w")) <= 7
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()} == {(i, 50 * len(str(i))) for i in range(100)}
+    docs = spark.range(200).selectExpr("cast(200 - id as long) as doc_id", "concat('text ', repeat('ab ', 20), id) as text")
+    token_files.write_tokens(docs, str(tmp_path / "t"), shards=2)
+    assert len(files("t")) > 10 and max(sum(1 for _ in token_files.segments(f.read_bytes())) for f in files("t")) <= 2
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in token_files.read_tokens(spark, str(tmp_path / "t")).collect())
+    assert [x[0] for x in got] == list(range(1, 201)) and [x[1] for x in got] == [0, *np.cumsum([x[2] for x in got])[:-1].tolist()]
