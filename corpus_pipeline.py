@@ -1,7 +1,13 @@
 """Corpus preparation: language, exact and near duplicates, benchmark passages, packed sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents.
+last return the columns of documents, and any others that the table has, whatever their names.
+
+Defined results: a null, empty or letterless text is in no language and goes in the first stage.
+Rows are judged one by one, so rows that share an id or have none are documents of their own;
+repeated rows (equal in id and text) are exact copies, of which one stays. Ties between copies go to
+the largest id in exact dedup and to the least in near dedup, where a null id is the least. Very long
+texts are worked on whole. An empty table gives an empty result in each stage.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm import decontamination, exact_dedup, language_id, ngram_join, packing
-from wayfarer.llm.common import stored, table
+from wayfarer.llm.common import collected, remove, settled, table
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
@@ -46,12 +52,15 @@ STAGES = [
     ("benchmark_decontamination", benchmark_passages),
     ("packing", sequences),
 ]
-#: The first and third stages have no SQL form; no test holds run() against a brute-force version yet.
+#: The first and third stages have no SQL form; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with collected() as made:
+            docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        remove(spark, read)  # what the stage has read, once its own result is stored
+        read = made
     return STAGES[-1][1](spark, docs, sf_dir)
