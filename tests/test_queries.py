@@ -30,8 +30,3 @@ def rows(pdf):
 def test_against_sql(spark, con, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
-
-
-@pytest.mark.parametrize("name", ["stream_plan", "camera_follow", "ride_feedback"])
-def test_runs(spark, name):
-    assert entry.queries()[name](spark, SF).count() > 0

@@ -25,7 +25,19 @@ RIDE_SURFACES = [
 FALLBACK_SURFACE = "unpaved"
 EXPORTED_TAGS = ["highway", "name", "surface", "oneway", "lanes", "width", "bridge", "tunnel", "layer", "junction", "area", "ref"]
 INVENTORY_TAGS = ["name", "surface", "oneway", "lanes", "width", "maxspeed", "bridge", "tunnel", "lit", "access", "motorcycle", "motor_vehicle", "junction", "smoothness", "layer", "ref"]
-TOP_SPEED = 25.0
+#: What the inventory's export keeps beside them: eighteen tags in all.
+EXTRA_TAGS = ["maxspeed", "lit", "access", "motorcycle", "motor_vehicle", "smoothness"]
+#: The ride model, in metres, seconds and radians. Motion:
+TOP_SPEED, REVERSE_SPEED, WALK, TICK = 25.0, 1.5, 1.5, 0.05
+DRIVE, REVERSE_DRIVE, BRAKES, HARD_BRAKES = 5.0, 2.0, 12.0, 20.0
+CORNERING, TIGHTEST, GRAVITY, MOST_LEAN, LEAN_LAG, WOBBLE_RATE = 6.0, 1.6, 9.81, 0.6, 6.0, 9.0
+#: Camera:
+BOOM, BOOM_PULL, BOOM_HEIGHT, BOOM_TILT, FOV, FOV_PULL = 6.0, 2.5, 2.5, -0.13, 60.0, 14.0
+CAMERA_LAG, BOOM_LAG, LOOK_LAG, SHAKE_LAG = 7.0, 3.5, 4.0, 4.0
+ROLL_SHARE, SHAKE_RATE, SHAKE_ROLL, SHAKE_LIFT = 0.35, 34.0, 0.09, 0.25
+#: Roads and chunks:
+ROAD_REACH, RESET_REACH, ROAD_MARGIN, DEFAULT_LAND = 40.0, 800.0, 1.5, "grass"
+CHUNK, REBASE, BYTE_BUDGET = 1000, 2000.0, 300_000_000
 
 
 def class_dim(spark: SparkSession) -> DataFrame:

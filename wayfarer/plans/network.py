@@ -28,7 +28,8 @@ TAGS = f"""SELECT o_orderkey AS way_id, {_case('o_orderkey % 24', HIGHWAYS)} AS
 NODES = """SELECT l_orderkey AS way_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INT) AS seq,
  l_partkey * 100000 + l_suppkey AS node_id FROM {lineitem}"""
 PLACED = """SELECT way_id, seq, node_id, (node_id % 9973) * 0.5E0 AS x, (node_id % 9967) * 0.5E0 AS z, 115.0E0 + (node_id % 9973) * 1E-5 AS lon, -8.7E0 + (node_id % 9967) * 1E-5 AS lat FROM ({nodes})"""
-SEGMENTS = """SELECT p_partkey AS segment_id, (p_partkey * 37 % 4001) * 1E0 AS ax, (p_partkey * 101 % 4003) * 1E0 AS az, (p_partkey * 37 % 4001) + (p_partkey % 61 - 30) * 1E0 AS bx, (p_partkey * 101 % 4003) + (p_partkey % 53 - 26) * 1E0 AS bz, 3E0 + p_partkey % 5 AS width FROM {part}"""
+SEGMENTS = """SELECT p_partkey AS segment_id, (p_partkey * 37 % 4001) * 1E0 AS ax, (p_partkey * 101 % 4003) * 1E0 AS az, (p_partkey * 37 % 4001) + (p_partkey % 61 - 30) * 1E0 AS bx, (p_partkey * 101 % 4003) + (p_partkey % 53 - 26) * 1E0 AS bz, 3E0 + p_partkey % 5 AS width,
+ """ + _case("p_partkey % 11", ["asphalt", "gravel", "sand", "paved", "dirt", "cobbles", "steps", "concrete", "paving_stones", "unpaved"]) + """ AS surface, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS name FROM {part}"""
 PROBES = """SELECT c_custkey AS point_id, (c_custkey * 59 % 4507) * 1E0 - 250 AS px, (c_custkey * 83 % 4513) * 1E0 - 250 AS pz FROM {customer}"""
 
 

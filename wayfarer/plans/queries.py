@@ -256,18 +256,24 @@ def reset_pose(spark, sf_dir):
 # ---- rides
 
 _BLOCK = "SELECT point_id, px, pz, floor(px / 1000)::INT + a.range - 1 AS i, floor(pz / 1000)::INT + b.range - 1 AS j FROM probes, range(3) a, range(3) b"
-_GAP = "sqrt(power(greatest(i * 1000 - px, 0, px - (i + 1) * 1000), 2) + power(greatest(j * 1000 - pz, 0, pz - (j + 1) * 1000), 2))"
+_GAP = "sqrt(power(greatest({i} * 1000 - {x}, 0, {x} - ({i} + 1) * 1000), 2) + power(greatest({j} * 1000 - {z}, 0, {z} - ({j} + 1) * 1000), 2))"
+_OFF = "1 - (sin({h}) * (({i} + 0.5) * 1000 - {x}) - cos({h}) * (({j} + 0.5) * 1000 - {z})) / sqrt(power(({i} + 0.5) * 1000 - {x}, 2) + power(({j} + 0.5) * 1000 - {z}, 2))"
+_MM = "floor(({}) * 1000 + 0.5)"
+_MICRO = "floor(coalesce({}, 0) * 1000000 + 0.5)"
+_PROBE = {"i": "i", "j": "j", "x": "px", "z": "pz", "h": "(point_id % 628 / 100.0::DOUBLE)"}
 
 
-@query(oracle(f"SELECT point_id, i, j, row_number() OVER (PARTITION BY point_id ORDER BY {_R3.format(_GAP)}, i, j) AS load_rank FROM ({_BLOCK}) WHERE i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 3", "probes"))
+@query(oracle(f"SELECT point_id, i, j, row_number() OVER (PARTITION BY point_id ORDER BY {_MM.format(_GAP.format(**_PROBE))}, {_MICRO.format(_OFF.format(**_PROBE))}, i, j) AS load_rank FROM ({_BLOCK}) WHERE i BETWEEN 0 AND 3 AND j BETWEEN 0 AND 3", "probes"))
 def load_order(spark, sf_dir):
-    """Chunks of a 4 x 4 manifest that each probe wants, nearest first."""
+    """Chunks of a 4 x 4 manifest that each probe wants: nearest first, then those ahead of its heading."""
     from pyspark.sql import Window
 
     p = N.probes(spark, sf_dir)
     p = p.withColumn("i", F.explode(F.sequence(geo.cell_of(F.col("px")) - 1, geo.cell_of(F.col("px")) + 1))).withColumn("j", F.explode(F.sequence(geo.cell_of(F.col("pz")) - 1, geo.cell_of(F.col("pz")) + 1)))
-    p = p.filter("i between 0 and 3 and j between 0 and 3").withColumn("gap", r3(geo.distance_to_chunk(F.col("i"), F.col("j"), F.col("px"), F.col("pz"))))
-    return p.select("point_id", "i", "j", F.row_number().over(Window.partitionBy("point_id").orderBy("gap", "i", "j")).cast("long").alias("load_rank"))
+    at = [F.col(c) for c in ("i", "j", "px", "pz")]
+    p = p.filter("i between 0 and 3 and j between 0 and 3").withColumn("gap", F.floor(geo.distance_to_chunk(*at) * 1000 + 0.5))
+    p = p.withColumn("off", F.floor(geo.off_heading(*at, F.col("point_id") % 628 / 100.0) * 1_000_000 + 0.5))
+    return p.select("point_id", "i", "j", F.row_number().over(Window.partitionBy("point_id").orderBy("gap", "off", "i", "j")).cast("long").alias("load_rank"))
 
 
 def _rides(spark, sf_dir):
@@ -275,45 +281,88 @@ def _rides(spark, sf_dir):
 
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     tick = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select(F.col("user_id").alias("ride_id"), tick.cast("long").alias("tick"), F.when(F.col("event_type") == "error", -1.0).otherwise(1.0).alias("throttle"), F.when(F.col("event_type") == "click", 0.5).when(F.col("event_type") == "view", -0.5).otherwise(0.0).alias("steer"), (F.col("event_type") == "signup").alias("brake"), F.lit(0.05).alias("dt"), F.col("value"))
+    return e.select(F.col("user_id").alias("ride_id"), tick.cast("long").alias("tick"), F.when(F.col("event_type") == "error", -1.0).otherwise(1.0).alias("throttle"), F.when(F.col("event_type") == "click", 0.5).when(F.col("event_type") == "view", -0.5).otherwise(0.0).alias("steer"), (F.col("event_type") == "signup").alias("brake"), F.lit(0.05).alias("dt"))
 
 
 _GRID = {(i, j): 1000 * (i + 1) + j for i in range(5) for j in range(5)}
-
-_RIDE_SQL = """
-WITH RECURSIVE e AS (SELECT user_id AS ride_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick, CASE event_type WHEN 'error' THEN -1.0 ELSE 1.0 END::DOUBLE AS th, event_type = 'signup' AS br FROM events),
-s AS (SELECT ride_id, -1::BIGINT AS tick, 0::DOUBLE AS v FROM e WHERE tick = 0
- UNION ALL SELECT e.ride_id, e.tick, greatest(-1.5, least(25, u - u * 0.2 * 0.05)) FROM (
-  SELECT e.ride_id, e.tick, CASE WHEN br THEN sign(v) * greatest(0, abs(v) - 1.0) ELSE v + th * 0.05 * CASE WHEN v * th < 0 THEN 12 WHEN th > 0 THEN 5 ELSE 2 END END AS u FROM s JOIN e ON e.ride_id = s.ride_id AND e.tick = s.tick + 1) e)
-SELECT ride_id, tick, floor(v * 1000 + 0.5) / 1000 AS speed FROM s WHERE tick >= 0
-"""
+_START = (2000.0, 2000.0)
+_EVENTS = "e AS (SELECT user_id AS ride_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS tick, CASE event_type WHEN 'error' THEN -1.0 ELSE 1.0 END::DOUBLE AS th, CASE event_type WHEN 'click' THEN 0.5 WHEN 'view' THEN -0.5 ELSE 0 END::DOUBLE AS st, event_type = 'signup' AS br FROM events)"
+#: A tick of a bike: from the state (x, z, h, v, lean, el) and the controls in {old}, on ground that has cap and wobble.
+_MOVE = """SELECT * EXCLUDE (x, z, y), x + sin(h) * v * 0.05 AS x, z - cos(h) * v * 0.05 AS z FROM (
+ SELECT * EXCLUDE (h, lean), h + (y + sin(9 * el) * wobble * CASE WHEN cap > 0 THEN abs(v) / (25 * cap) ELSE 0 END) * 0.05 AS h, lean + (greatest(-0.6, least(0.6, atan2(y * v, 9.81))) - lean) * (1 - exp(-0.3)) AS lean FROM (
+  SELECT *, st * least(6 / greatest(abs(v), 1.5), 1.6) * least(1, abs(v) / 1.5) * sign(v) AS y FROM (
+   SELECT * EXCLUDE (v), greatest(-least(1.5, 25 * cap), least(25 * cap, v * 0.99)) AS v FROM (
+    SELECT * EXCLUDE (v, el), el + 0.05 AS el, CASE WHEN br THEN sign(v) * greatest(0, abs(v) - 1.0) ELSE v + th * 0.05 * CASE WHEN v * th < 0 THEN 12 WHEN th > 0 THEN 5 ELSE 2 END END AS v FROM ({old})))))"""
+_STATE = "ride_id, tick, x, z, h, v, lean, el"
+_OLD = "SELECT e.ride_id, e.tick, th, st, br, x, z, h, v, lean, el, 1::DOUBLE AS cap, 0::DOUBLE AS wobble FROM s JOIN e ON e.ride_id = s.ride_id AND e.tick = s.tick + 1"
+_ASPHALT = f"""s AS (SELECT ride_id, -1::BIGINT AS tick, 0::DOUBLE AS x, 0::DOUBLE AS z, 0::DOUBLE AS h, 0::DOUBLE AS v, 0::DOUBLE AS lean, 0::DOUBLE AS el FROM e WHERE tick = 0
+ UNION ALL SELECT {_STATE} FROM ({_MOVE.format(old=_OLD)}))"""
+
+
+@query(f"WITH RECURSIVE {_EVENTS}, {_ASPHALT} SELECT ride_id, tick, {_R3.format('x')} AS x, {_R3.format('z')} AS z, {_R3.format('h')} AS heading, {_R3.format('v')} AS speed, {_R3.format('lean')} AS lean FROM s WHERE tick >= 0")
+def ride_fixed_surface(spark, sf_dir):
+    return rides.ride_on(_rides(spark, sf_dir)).select("ride_id", "tick", *(r3(c).alias(c) for c in ("x", "z", "heading", "speed", "lean")))
 
 
-@query(_RIDE_SQL)
-def ride_fixed_surface(spark, sf_dir):
-    return rides.ride_on(_rides(spark, sf_dir).drop("value")).select("ride_id", "tick", r3("speed").alias("speed"))
+#: A tick of a camera with its boom b, from its state and the bike's in {old}.
+_BOOM = "SELECT * EXCLUDE (b, t), b + (t - floor(t / (2 * pi())) * 2 * pi() - pi()) * (1 - exp(-0.175)) AS b, 6 + 2.5 * least(1, abs(v) / 25) AS d FROM (SELECT *, h - b + pi() AS t FROM ({old}))"
+_CHASED = "cx + (x - sin(b) * d - cx) * (1 - exp(-0.35)) AS cx, cz + (z + cos(b) * d - cz) * (1 - exp(-0.35)) AS cz"
+_CAMERA = f"""c AS (SELECT ride_id, -1::BIGINT AS tick, h AS b, x - sin(h) * 6 AS cx, z + cos(h) * 6 AS cz, lean, 60::DOUBLE AS fov FROM s WHERE tick = 0
+ UNION ALL SELECT ride_id, tick, b, {_CHASED}, lean, 60 + 14 * least(1, abs(v) / 25) AS fov FROM ({_BOOM.format(old="SELECT s.ride_id, s.tick, b, cx, cz, x, z, h, v, s.lean FROM c JOIN s ON s.ride_id = c.ride_id AND s.tick = c.tick + 1")}))"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_EVENTS}, {_ASPHALT}, {_CAMERA} SELECT ride_id, tick, {_R3.format('cx')} AS x, {_R3.format('cz')} AS z, {_R3.format('b')} AS heading, {_R3.format('-0.35 * lean')} AS roll, {_R3.format('fov')} AS fov FROM c WHERE tick >= 0")
+def camera_follow(spark, sf_dir):
+    return rides.camera_path(rides.ride_on(_rides(spark, sf_dir))).select("ride_id", "tick", *(r3(c).alias(c) for c in ("x", "z", "heading", "roll", "fov")))
+
+
+_AT = {"i": "i", "j": "j", "x": "x", "z": "z", "h": "h"}
+_NAMES = "array_to_string(list_transform({}, lambda c: 'x' || c.i || '_z' || c.j), ',')"
+_BYTES = "coalesce(list_sum(list_transform({}, lambda b: 1000 * (b.i + 1) + b.j)), 0)"
+#: held: chunks by when they were last wanted. The idle that stay near go from the front while what went before falls short of the excess.
+_PLAN_SQL = f"""WITH RECURSIVE {_EVENTS},
+p AS (SELECT ride_id, tick, tick * 97.0::DOUBLE % 5000 AS x, tick * 61.0::DOUBLE % 5000 AS z, st AS h FROM e),
+w AS (SELECT ride_id, tick, floor(x / 1000)::INT AS ci, floor(z / 1000)::INT AS cj, list({{'i': i, 'j': j}} ORDER BY {_MM.format(_GAP.format(**_AT))}, {_MICRO.format(_OFF.format(**_AT))}, i, j) AS wanted
+ FROM (SELECT p.*, floor(x / 1000)::INT + a.range::INT - 1 AS i, floor(z / 1000)::INT + b.range::INT - 1 AS j FROM p, range(3) a, range(3) b) WHERE i BETWEEN 0 AND 4 AND j BETWEEN 0 AND 4 GROUP BY ride_id, tick, x, z),
+r AS (SELECT ride_id, -1::BIGINT AS tick, []::STRUCT(i INTEGER, j INTEGER)[] AS held, '' AS loaded, '' AS unloaded FROM e WHERE tick = 0
+ UNION ALL SELECT ride_id, tick, list_concat(list_filter(near, lambda c: NOT list_contains(over, c)), wanted), {_NAMES.format('load')}, {_NAMES.format('list_concat(far, over)')} FROM (
+  SELECT *, list_filter(near, lambda c, n: {_BYTES.format('near[1:n - 1]')} < {_BYTES.format('near')} + {_BYTES.format('wanted')} - 30000) AS over FROM (
+   SELECT *, list_filter(idle, lambda c: greatest(abs(c.i - ci), abs(c.j - cj)) > 2) AS far, list_filter(idle, lambda c: greatest(abs(c.i - ci), abs(c.j - cj)) <= 2) AS near FROM (
+    SELECT w.*, list_filter(w.wanted, lambda c: NOT list_contains(r.held, c)) AS load, list_filter(r.held, lambda c: NOT list_contains(w.wanted, c)) AS idle FROM r JOIN w ON w.ride_id = r.ride_id AND w.tick = r.tick + 1))))
+SELECT ride_id, tick, loaded, unloaded, len(held)::INT AS held FROM r WHERE tick >= 0"""
+
+
+@query(_PLAN_SQL)
 def stream_plan(spark, sf_dir):
     steps = _rides(spark, sf_dir).select("ride_id", "tick", (F.col("tick") * 97.0 % 5000).alias("x"), (F.col("tick") * 61.0 % 5000).alias("z"), F.col("steer").alias("heading"))
     return rides.stream_plan(steps, _GRID, budget=30_000)
 
 
-@query()
-def camera_follow(spark, sf_dir):
-    return rides.camera_path(rides.ride_on(_rides(spark, sf_dir).drop("value"))).select("ride_id", "tick", r3("x").alias("x"), r3("z").alias("z"), r3("heading").alias("heading"), r3("fov").alias("fov"))
+#: Where on segment g the place (x, z) comes nearest; the nearest of the list l, as a struct that orders by distance and id.
+_ON = "coalesce(greatest(0, least(1, (({x} - g.ax) * (g.bx - g.ax) + ({z} - g.az) * (g.bz - g.az)) / nullif((g.bx - g.ax) * (g.bx - g.ax) + (g.bz - g.az) * (g.bz - g.az), 0))), 0)"
+_NEAR = f"list_min(list_transform(l, lambda g: {{{{'d': sqrt(power({{x}} - (g.ax + (g.bx - g.ax) * {_ON}), 2) + power({{z}} - (g.az + (g.bz - g.az) * {_ON}), 2)), 'id': g.segment_id, 'g': g}}}}))"
+_HERE, _THERE = {"x": "x", "z": "z"}, {"x": "2000.0::DOUBLE", "z": "2000.0::DOUBLE"}
+_GROUND = " ".join(f"WHEN '{s}' THEN {{'cap': {c!r}::DOUBLE, 'wobble': {w!r}::DOUBLE}}" for s, c, w in dims.RIDE_SURFACES)
+_FELT = f"""SELECT * EXCLUDE (k), k.cap AS cap, k.wobble AS wobble FROM (SELECT *, CASE surface {_GROUND} ELSE {{'cap': 0.6::DOUBLE, 'wobble': 0.12::DOUBLE}} END AS k FROM (
+  SELECT * EXCLUDE (hit, onr), onr, CASE WHEN onr THEN hit.g.surface ELSE 'grass' END AS surface, CASE WHEN onr THEN hit.g.name END AS road FROM (SELECT *, coalesce(hit.d <= least(40, hit.g.width / 2 + 1.5), false) AS onr FROM (
+   SELECT e.ride_id, e.tick, th, st, br, x, z, h, v, lean, el, b, cx, cz, {_NEAR.format(**_HERE)} AS hit FROM s JOIN e ON e.ride_id = s.ride_id AND e.tick = s.tick + 1, segs))))"""
+_FEEDBACK_SQL = f"""WITH RECURSIVE {_EVENTS}, rsegs AS ({N.SEGMENTS.format(part="part")}),
+segs AS (SELECT list(rsegs) AS l FROM rsegs WHERE greatest(least(ax, bx) - 2000, 2000 - greatest(ax, bx)) < 1100 AND greatest(least(az, bz) - 2000, 2000 - greatest(az, bz)) < 1100),
+o AS (SELECT g.ax + (g.bx - g.ax) * t AS ox, g.az + (g.bz - g.az) * t AS oz, CASE WHEN cos(a) < 0 THEN a + pi() ELSE a END AS oh FROM (SELECT g, d, CASE WHEN g.ax = g.bx AND g.az = g.bz THEN pi() ELSE atan2(g.bx - g.ax, g.az - g.bz) END AS a, {_ON.format(**_THERE)} AS t FROM (SELECT hit.d AS d, hit.g AS g FROM (SELECT {_NEAR.format(**_THERE)} AS hit FROM segs))) WHERE d <= 800),
+s AS (SELECT e.ride_id, -1::BIGINT AS tick, coalesce(ox, 2000) AS x, coalesce(oz, 2000) AS z, coalesce(oh, 0) AS h, 0::DOUBLE AS v, 0::DOUBLE AS lean, 0::DOUBLE AS el, NULL::VARCHAR AS surface, NULL::VARCHAR AS road, false AS onr, coalesce(oh, 0) AS b, coalesce(ox, 2000) - sin(coalesce(oh, 0)) * 6 AS cx, coalesce(oz, 2000) + cos(coalesce(oh, 0)) * 6 AS cz FROM e LEFT JOIN o ON true WHERE e.tick = 0
+ UNION ALL SELECT ride_id, tick, x, z, h, v, lean, el, surface, road, onr, b, {_CHASED} FROM ({_BOOM.format(old=_MOVE.format(old=_FELT))}))
+SELECT ride_id, tick, {_R3.format('x')} AS x, {_R3.format('z')} AS z, {_R3.format('h')} AS heading, {_R3.format('v')} AS speed, surface, road AS road_name, onr AS on_road, {_R3.format('cx')} AS camera_x, {_R3.format('cz')} AS camera_z FROM s WHERE tick >= 0"""
 
 
-@query()
+@query(_FEEDBACK_SQL)
 def ride_feedback(spark, sf_dir):
-    roads = N.road_segments(spark, sf_dir).withColumn("surface", F.lit("asphalt"))
-    out = rides.ride_feedback(_rides(spark, sf_dir).drop("value"), roads, _GRID, (2000.0, 2000.0))
-    return out.select("ride_id", "tick", r3("x").alias("x"), r3("z").alias("z"), r3("speed").alias("speed"), "surface", "on_road", "loaded", "unloaded")
+    out = rides.ride_feedback(_rides(spark, sf_dir), N.road_segments(spark, sf_dir), _GRID, _START)
+    return out.select("ride_id", "tick", *(r3(c).alias(c) for c in ("x", "z", "heading", "speed")), "surface", "road_name", "on_road", *(r3(c).alias(c) for c in ("camera_x", "camera_z")))
 
 
-@query(oracle("SELECT i AS chunk_i, j AS chunk_j, count(*) AS rows FROM pieces GROUP BY 1, 2", "pieces"))
+@query(oracle("SELECT i AS chunk_i, j AS chunk_j, count(*) AS rows FROM pieces WHERE way_id % 50 <> 7 OR NOT is_path GROUP BY 1, 2 HAVING count(*) FILTER (WHERE way_id % 101 = 5) > 0 OR count(*) FILTER (WHERE way_id % 97 = 3) > 0", "pieces"))
 def incremental_write(spark, sf_dir):
-    """The manifest that an incremental write compares: a row a chunk."""
-    table = _pieces(spark, sf_dir).select(F.col("i").alias("chunk_i"), F.col("j").alias("chunk_j"), "way_id", "edge_seq", "piece_seq", "from_id", "to_id", "n_points")
-    return catalog.changed_chunks(catalog.manifest(table), None).select("chunk_i", "chunk_j", "rows")
+    """A second build against the manifest of a first: the chunks that changed, for the second has ways that are new and ways with other points."""
+    both = _pieces(spark, sf_dir).filter("way_id % 50 <> 7 or not is_path").select(F.col("i").alias("chunk_i"), F.col("j").alias("chunk_j"), "way_id", "edge_seq", "piece_seq", "from_id", "to_id", "n_points")
+    first = both.filter("way_id % 97 <> 3").withColumn("n_points", F.when(F.col("way_id") % 101 == 5, F.col("n_points") - 1).otherwise(F.col("n_points")))
+    return catalog.changed_chunks(catalog.manifest(both), catalog.manifest(first)).select("chunk_i", "chunk_j", "rows")
