@@ -56,12 +56,21 @@ def anchors(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndar
     return halves, least, text[: len(least)] == text[window - 1 :]
 
 
+def planes(entries: np.ndarray) -> bytes:
+    """Entries byte by byte: all first bytes, all second ones and so on, so the shuffle's codec takes out what is the same in most."""
+    return np.ascontiguousarray(entries.view(np.uint8).reshape(len(entries), -1).T).tobytes()
+
+
+def unplaned(raw: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def packed_rows(entries: np.ndarray, bucket: np.ndarray, kind: int = 0) -> pa.RecordBatch:
     """A row per bucket with its entries packed."""
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    packed = [entries[a:b].tobytes() for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
+    packed = [planes(entries[a:b]) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)])]
     return pa.RecordBatch.from_arrays([pa.array(bucket[cuts].astype(np.int32)), pa.array([kind] * len(cuts), pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "kind", "packed"])
 
 
@@ -85,7 +94,7 @@ def grouped(batches, kind: np.dtype):
                 yield None, np.concatenate(parts)
                 parts = []
             now = bucket
-            parts.append(np.frombuffer(packed, dtype=kind))
+            parts.append(unplaned(packed, kind))
     if parts:
         yield None, np.concatenate(parts)
 
@@ -147,7 +156,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         found: list = []  # (hashes, the buckets they go to), of several buckets, so that rows follow the tasks
         for bucket, entries in grouped(batches, _SENT):
             if bucket is not None:
-                hashes = np.frombuffer(entries, _HASH)
+                hashes = unplaned(entries, _HASH)
                 found.append((hashes, np.full(len(hashes), bucket, np.int64)))
             else:
                 entries = entries[np.argsort(entries["hash"], kind="stable")]
@@ -176,7 +185,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     now, parts, answers = bucket[a], [], None
                 part = batch.slice(a, b - a)
                 if not kinds[a]:
-                    parts += [np.frombuffer(x, dtype=kind) for x in part.column("packed").to_pylist()]
+                    parts += [unplaned(x, kind) for x in part.column("packed").to_pylist()]
                 else:
                     answers = (np.concatenate(parts) if parts else np.zeros(0, kind)) if answers is None else answers
                     yield int(now), answers, part
