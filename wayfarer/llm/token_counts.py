@@ -64,8 +64,10 @@ def distinct_pre_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
     def tokens(batches):
         schema = pa.schema([("piece", pa.string()), ("n", pa.int64()), ("pieces", pa.int64())])
         for batch in batches:
-            ids = encoder(vocabulary).encode_pieces(batch.column("piece").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array([len(x) // 4 for x in ids], type=pa.int64())], schema=schema)
+            pieces = batch.column("piece").to_pylist()
+            order, _, lengths = encoder(vocabulary).encode_pieces(pieces)
+            known = dict(zip(order, lengths.tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array(map(known.__getitem__, pieces), type=pa.int64())], schema=schema)
 
     grouped = docs.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     return stored(grouped.mapInArrow(tokens, "piece string, n long, pieces long"), "pre-tokens")
