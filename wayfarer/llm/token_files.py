@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,26 +40,27 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(values: np.ndarray, width: int) -> np.ndarray:
-    """(blocks, 128) values below 2**width to (blocks, 2 * width) words of 64 bits."""
-    out = np.zeros((len(values), 2 * width), dtype=np.uint64)
+    """(128, blocks) values below 2**width, a column a block, to (blocks, 2 * width) words of 64 bits."""
+    out = np.zeros((2 * width, values.shape[1]), dtype=np.uint64)
     for i in range(BLOCK):
         word, shift = divmod(i * width, 64)
-        out[:, word] |= values[:, i] << np.uint64(shift)
+        out[word] |= values[i] << np.uint64(shift)
         if shift + width > 64:
-            out[:, word + 1] |= values[:, i] >> np.uint64(64 - shift)
-    return out
+            out[word + 1] |= values[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T)
 
 
 def unpack_bits(words: np.ndarray, width: int) -> np.ndarray:
-    out = np.empty((len(words), BLOCK), dtype=np.uint64)
+    """(blocks, 128) values of (blocks, 2 * width) words."""
+    words, out = np.ascontiguousarray(words.T), np.empty((BLOCK, len(words)), dtype=np.uint64)
     mask = np.uint64((1 << width) - 1)
     for i in range(BLOCK):
         word, shift = divmod(i * width, 64)
-        x = words[:, word] >> np.uint64(shift)
+        x = words[word] >> np.uint64(shift)
         if shift + width > 64:
-            x = x | words[:, word + 1] << np.uint64(64 - shift)
-        out[:, i] = x & mask
-    return out
+            x |= words[word + 1] << np.uint64(64 - shift)
+        out[i] = x & mask
+    return out.T
 
 
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, int]:
@@ -79,14 +81,15 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
     out = np.zeros(starts[-1], dtype=np.uint8)
 
     def put(at: np.ndarray, values: np.ndarray) -> None:
-        raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(at), -1)
-        out[at[:, None] + np.arange(raw.shape[1])] = raw
+        if len(at):
+            raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(at), -1)
+            sliding_window_view(out, raw.shape[1], writeable=True)[at] = raw
 
     put(starts[:-1], low.astype("<u4"))
     put(starts[:-1] + 4, np.stack([width, exceptions.astype(np.uint8)], axis=1))
     for w in np.unique(width[width > 0]).tolist():
         at = np.flatnonzero(width == w)
-        put(starts[at] + 6, pack_bits(grid[at] & np.uint64((1 << w) - 1), w))
+        put(starts[at] + 6, pack_bits(np.ascontiguousarray((grid[at] & np.uint64((1 << w) - 1)).T), w))
     block, position = np.nonzero(outlier)
     nth = np.arange(len(block)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
     at = starts[block] + 6 + 16 * width[block].astype(np.int64)
@@ -97,11 +100,13 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[byte
 
 
 def decode_blocks(raw: memoryview, blocks: int, ids: int) -> np.ndarray:
+    if not blocks:
+        return np.zeros(0, "<u4")
     starts = np.frombuffer(raw, dtype="<u4", count=blocks).astype(np.int64)
     data = np.frombuffer(raw, dtype=np.uint8)[4 * blocks :]
 
     def get(at: np.ndarray, n: int, kind: str) -> np.ndarray:
-        return np.ascontiguousarray(data[at[:, None] + np.arange(n)]).view(kind)
+        return np.ascontiguousarray(sliding_window_view(data, n)[at]).view(kind)
 
     low, width, exceptions = get(starts, 4, "<u4")[:, 0].astype(np.uint64), data[starts + 4], data[starts + 5].astype(np.int64)
     grid = np.zeros((blocks, BLOCK), dtype=np.uint64)
