@@ -16,6 +16,16 @@ def way_lengths(points: DataFrame) -> DataFrame:
     return points.withColumn("d", d).groupBy("way_id").agg(F.count("*").alias("n_points"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("metres"), F.coalesce(F.max("d"), F.lit(0.0)).alias("longest"))
 
 
+def totals(lengths: DataFrame) -> DataFrame:
+    """One row: ways, coordinates, km and the longest step between two points."""
+    return lengths.agg(F.count("*").alias("ways"), F.coalesce(F.sum("n_points"), F.lit(0)).alias("coordinates"), (F.coalesce(F.sum("metres"), F.lit(0.0)) / 1000).alias("km"), F.coalesce(F.max("longest"), F.lit(0.0)).alias("longest"))
+
+
+def in_report_order(report: DataFrame) -> DataFrame:
+    """The class report, longest classes first."""
+    return report.orderBy(F.desc("km"), "cls")
+
+
 def class_report(ways: DataFrame, lengths: DataFrame) -> DataFrame:
     """Ways, kilometres, nodes, shares and metres a way of each class. ways: way_id, tags."""
     cls = F.coalesce(F.nullif(F.col("tags")["highway"], F.lit("")), F.lit("(none)"))
@@ -47,3 +57,10 @@ def width_percentiles(ways: DataFrame, shares: tuple[float, ...] = (0.1, 0.5, 0.
     run = counts.withColumn("upto", F.sum("count").over(order)).withColumn("n", F.sum("count").over(Window.partitionBy()))
     pick = [F.min(F.when(F.col("upto") > F.floor(s * (F.col("n") - 1)), F.col("w"))).alias(f"p{round(100 * s)}") for s in shares]
     return run.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *pick)
+
+
+def class_values(ways: DataFrame, tag: str, n: int = 12) -> DataFrame:
+    """The n most frequent values of a tag by class, as class:value."""
+    cls = F.coalesce(F.nullif(F.col("tags")["highway"], F.lit("")), F.lit("(none)"))
+    keyed = ways.filter(F.col("tags")[tag] != "").select("way_id", F.create_map(F.lit(tag), F.concat(cls, F.lit(":"), F.col("tags")[tag])).alias("tags"))
+    return tag_values(keyed, [tag], n)

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import dims, geo
-from ..operators import geometry, graph, inventory, nearest, ways
+from ..operators import bake, geometry, graph, inventory, nearest, ways
 from ..sources import catalog
 from ..streaming import rides
 from . import network as N
@@ -221,6 +221,64 @@ def dashes_clear_of_junctions(spark, sf_dir):
     return clear.filter("kind = 'dash'").agg(F.count("*").alias("dashes"))
 
 
+# ---- baking
+
+
+def _placed(spark, sf_dir):
+    return bake.placed_pieces(graph.chunk_pieces(_segments(spark, sf_dir)))
+
+
+_ORDERED = "SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY is_path, way_id, edge_seq, piece_seq) - 1 AS nth FROM pieces"
+
+
+@query(oracle(f"SELECT i, j, node_id, row_number() OVER (PARTITION BY i, j ORDER BY o) - 1 AS node, {_R3.format('x - (i + 0.5) * 1000')} AS x, {_R3.format('z - (j + 0.5) * 1000')} AS z FROM (SELECT i, j, node_id, min(o) AS o, arg_min(x, o) AS x, arg_min(z, o) AS z FROM (SELECT i, j, from_id AS node_id, 2 * nth AS o, sx AS x, sz AS z FROM ({_ORDERED}) WHERE NOT is_path UNION ALL SELECT i, j, to_id, 2 * nth + 1, ex, ez FROM ({_ORDERED}) WHERE NOT is_path) GROUP BY i, j, node_id)", "pieces"))
+def local_nodes(spark, sf_dir):
+    """Nodes of each chunk by first appearance, from its centre."""
+    return bake.local_nodes(_placed(spark, sf_dir)).select("i", "j", "node_id", F.col("node").cast("long").alias("node"), r3("x").alias("x"), r3("z").alias("z"))
+
+
+_POINTS = "SELECT way_id, is_path, edge_seq, piece_seq, i, j, list_concat(list({'x': ax - (i + 0.5) * 1000, 'z': az - (j + 0.5) * 1000} ORDER BY part)[1:1], list({'x': bx - (i + 0.5) * 1000, 'z': bz - (j + 0.5) * 1000} ORDER BY part)) AS p FROM parts GROUP BY way_id, is_path, edge_seq, piece_seq, i, j"
+_KEPT = f"SELECT * EXCLUDE (p), list_reduce(list_transform(p, lambda v: [v]), lambda a, b: CASE WHEN sqrt(power(a[-1].x - b[1].x, 2) + power(a[-1].z - b[1].z, 2)) < 0.05 THEN a ELSE list_concat(a, b) END) AS p FROM ({_POINTS})"
+_SIZED = f"SELECT k.*, width / 2 AS w, len(p) AS n, CASE WHEN len(p) >= 2 THEN 5 * len(p) - 6 ELSE 0 END AS ribbon, CASE WHEN len(p) >= 2 THEN 12 * len(p) - 18 ELSE 0 END + 24 * len(p) AS indices FROM ({_KEPT}) k JOIN roads USING (way_id)"
+_LAID = f"SELECT *, coalesce(sum(ribbon + 9 * n) OVER (PARTITION BY i, j ORDER BY is_path, way_id, edge_seq, piece_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM ({_SIZED})"
+#: The sum of a piece's indices: of quads (6 base + 9), bends (their fans meet at the quad's last vertex) and discs.
+_QUADS = "coalesce(list_sum(list_transform(range(0, n - 1), lambda s: 6 * (4 * s + greatest(s - 1, 0)) + 9)), 0)"
+_BENDS = "coalesce(list_sum(list_transform(range(1, n - 1), lambda s: 4 * (5 * s - 1) + 9 + 2 * (4 * (s - 1) + greatest(s - 2, 0)) + 5)), 0)"
+_DISCS = "coalesce(list_sum(list_transform(range(0, n), lambda k: 24 * (ribbon + 9 * k) + 72)), 0)"
+_SIDE = "list_transform(range(1, n), lambda s: {{'d': (p[s + 1].{a} - p[s].{a}) / sqrt(power(p[s + 1].x - p[s].x, 2) + power(p[s + 1].z - p[s].z, 2)) * w, 'a': p[s].{b}, 'b': p[s + 1].{b}}})"
+_EDGE = "list_concat(list_concat(list_transform({s}, lambda v: least(v.a, v.b) - abs(v.d)), list_transform({s}, lambda v: greatest(v.a, v.b) + abs(v.d))), list_concat(list_transform(p, lambda q: q.{b} - w), list_transform(p, lambda q: q.{b} + w)))"
+_X, _Z = (_EDGE.format(s=_SIDE.format(a=a, b=b), b=b) for a, b in (("z", "x"), ("x", "z")))
+
+
+@query(oracle(f"SELECT way_id, edge_seq, piece_seq::INT AS piece_seq, i, j, first AS first_vertex, (ribbon + 9 * n)::BIGINT AS n_vertices, indices::BIGINT AS n_indices, ({_QUADS} + {_BENDS} + {_DISCS} + first * indices)::BIGINT AS index_sum, {_R3.format(f'list_min({_X})')} AS west, {_R3.format(f'list_max({_X})')} AS east, {_R3.format(f'list_min({_Z})')} AS north, {_R3.format(f'list_max({_Z})')} AS south FROM ({_LAID})", "parts"))
+def mesh_pieces(spark, sf_dir):
+    """Each piece's part of its chunk's mesh: where it begins, how much it is, the sum of its indices and the box around its vertices."""
+    styles = N.road_ways(spark, sf_dir).select("way_id", "width", dims.road_height(F.col("rank")).alias("height"), dims.road_colour(F.col("surface")).alias("colour"))
+    m = bake.meshes(_placed(spark, sf_dir), styles)
+    of = lambda f, c: r3(f(F.transform("vertices", lambda v: v[c])))
+    total = F.aggregate("indices", F.lit(0).cast("long"), lambda s, x: s + x)
+    return m.select("way_id", "edge_seq", "piece_seq", "i", "j", "first_vertex", F.col("n_vertices").cast("long").alias("n_vertices"), F.col("n_indices").cast("long").alias("n_indices"), total.alias("index_sum"), of(F.array_min, "x").alias("west"), of(F.array_max, "x").alias("east"), of(F.array_min, "z").alias("north"), of(F.array_max, "z").alias("south"))
+
+
+@query(oracle(f"SELECT count(*) AS ways, sum(n)::BIGINT AS coordinates, {_R3.format('sum(m) / 1000')} AS km, {_R3.format('max(x)')} AS longest FROM (SELECT way_id, count(*) AS n, coalesce(sum(d), 0) AS m, coalesce(max(d), 0) AS x FROM ({_STEPS}) GROUP BY 1)", "pts"))
+def inventory_totals(spark, sf_dir):
+    t = inventory.totals(_lengths(spark, sf_dir))
+    return t.select("ways", "coordinates", r3("km").alias("km"), r3("longest").alias("longest"))
+
+
+_MOTOR = "CASE WHEN way_id % 7 = 1 THEN 'no' WHEN way_id % 7 = 3 THEN 'designated' WHEN way_id % 7 = 5 THEN '' END"
+_SPEED = "CASE way_id % 5 WHEN 0 THEN '30' WHEN 1 THEN '40' WHEN 2 THEN '' END"
+
+
+@query(oracle(f"SELECT tag, value, ways, rank FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY ways DESC, first) AS rank FROM (SELECT tag, value, count(*) AS ways, min(way_id) AS first FROM (SELECT way_id, 'maxspeed' AS tag, {_SPEED} AS value FROM tags UNION ALL SELECT way_id, 'motorcycle', CASE WHEN {_MOTOR} <> '' THEN coalesce(nullif(highway, ''), '(none)') || ':' || {_MOTOR} END FROM tags) WHERE value <> '' GROUP BY 1, 2)) WHERE rank <= CASE tag WHEN 'motorcycle' THEN 12 ELSE 8 END", "tags"))
+def tag_topn_by_class(spark, sf_dir):
+    """Frequent speed limits, and frequent motorcycle rules of each class."""
+    more = F.create_map(F.lit("motorcycle"), F.expr(_MOTOR), F.lit("maxspeed"), F.expr(_SPEED))
+    ways_ = N.way_tags(spark, sf_dir).withColumn("tags", F.map_concat("tags", F.map_filter(more, lambda _, v: v.isNotNull())))
+    speed = inventory.tag_values(ways_, ["maxspeed"])
+    return speed.unionByName(inventory.class_values(ways_, "motorcycle")).withColumn("rank", F.col("rank").cast("long"))
+
+
 # ---- nearest
 
 _T = "greatest(0, least(1, ((px - ax) * (bx - ax) + (pz - az) * (bz - az)) / nullif((bx - ax) * (bx - ax) + (bz - az) * (bz - az), 0)))"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geo
+
 _FEATURE = "type string, geometry struct<type:string, coordinates:array<array<double>>>, properties map<string,string>"
 
 
@@ -46,11 +48,11 @@ def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def source_timestamp(header: str | None, modified):
     """The header's time if there is one, else the file's."""
-    return F.coalesce(F.nullif(F.trim(F.lit(header)), F.lit("")), F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    return F.coalesce(F.nullif(F.regexp_replace(F.lit(header).cast("string"), r"^\s+|\s+$", ""), F.lit("")), F.date_format(modified, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def block_boundary(i0: int, j0: int, i1: int, j1: int, samples: int = 8) -> list[tuple[float, float]]:
-    """A closed ring of world points around a block of chunks, a few on each side, ready for the inverse projection."""
+    """A closed ring (lon, lat) around a block of chunks, with samples on each side, so that it follows the grid."""
     corners = [(i0, j0), (i1 + 1, j0), (i1 + 1, j1 + 1), (i0, j1 + 1)]
     ring = [(1000.0 * (a[0] + (b[0] - a[0]) * k / samples), 1000.0 * (a[1] + (b[1] - a[1]) * k / samples)) for a, b in zip(corners, corners[1:] + corners[:1]) for k in range(samples)]
-    return [*ring, ring[0]]
+    return [geo.lon_lat_of(*p) for p in [*ring, ring[0]]]
