@@ -314,6 +314,13 @@ def test_language(spark, empty):
     assert language_id.learn(empty).decide([b"abc"]) == (["und"], [0.0]) and language_id.identify(empty, filters).count() == 0
 
 
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    lang = {r.doc_id: r.lang for r in table(spark, sf, "documents").select("doc_id", "lang").collect()}
+    told = [lang[r.doc_id] == r.lang_pred for r in language_id.op7(spark, sf).collect() if r.held_out and lang[r.doc_id]]
+    assert len(told) > 150 and sum(told) >= 0.98 * len(told)
+
+
 def test_languages_with_few_rows_and_more_than_64_languages(spark):
     r, rows = random.Random(2), []
     letters = "abcdefghijklmnopqrstuvwxyz"
