@@ -87,7 +87,9 @@ def test_passages(docs, empty):
 def test_jaccard(docs, empty, monkeypatch, k, percent, least):
     monkeypatch.setattr(ngram_join, "LEAST_COUNT", least)
     monkeypatch.setattr(components, "ONE_TASK", 0 if least == 2 else components.ONE_TASK)
-    monkeypatch.setattr(ngram_join, "FEW", 2 if least == 2 else ngram_join.FEW)
+    if least == 2:  # large entries are cut into blocks
+        for name, x in {"FEW": 2, "RUN": 3, "TILE": 4}.items():
+            monkeypatch.setattr(ngram_join, name, x)
     sets = {}
     for i, t in zip(IDS, TEXTS):
         w = words((t or "").translate(LOWER))
@@ -104,6 +106,49 @@ def test_jaccard(docs, empty, monkeypatch, k, percent, least):
         assert ngram_join.similar_components(empty).count() == 0
 
 
+def test_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    sizes = [1 + i % 40 for i in range(90)]
+    sizes = {1: sizes, 2: [7] * 23, 3: [4, 9, 4]}
+    entries = spark.createDataFrame([(e, e * 1000 + i, n, i, len(x)) for e, x in sizes.items() for i, n in enumerate(x)], "id long, cls long, n long, root long, size long")
+    tiles = {}
+    for r in ngram_join.tiled(entries, 85).collect():
+        tiles.setdefault((r.id, r.tile), []).append((r.root, r.side))
+    met = {}
+    for (entry, _), members in tiles.items():
+        assert len(members) <= 4 * 5  # two blocks, as evenly filled as a hash does it
+        for x, side in members:
+            for y, other in members:
+                if x < y and (side == 2 or side != other):
+                    met[entry, x, y] = met.get((entry, x, y), 0) + 1
+    want = {(e, i, j) for e, x in sizes.items() for i in range(len(x)) for j in range(i + 1, len(x)) if 100 * min(x[i], x[j]) >= 85 * max(x[i], x[j])}
+    assert want <= set(met) and set(met.values()) == {1}
+
+
+def test_large_entries(spark, monkeypatch):
+    for name, x in {"LEAST_COUNT": 2, "FEW": 2, "RUN": 7, "TILE": 6}.items():
+        monkeypatch.setattr(ngram_join, name, x)
+    r = random.Random(8)
+    template, groups, texts = [f"t{i}" for i in range(70)], 20, []
+    for g in range(groups):  # all share most of their words, and few link
+        own = [f"g{g}x{i}" for i in range(25 + g % 3)]
+        for _ in range(4):
+            w = template + own
+            w[r.randrange(len(w))] = f"e{r.random()}"
+            texts.append(" ".join(w[: len(w) - r.randrange(3)]))
+    r.shuffle(texts)
+    sets = [{tuple(t.split()[a : a + 4]) for a in range(len(t.split()) - 3)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = [x if g == y else g for g in root]
+    assert 10 < len(set(root)) < 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.component_id for x in ngram_join.similar_components(docs).collect()} == dict(enumerate(root))
+
+
 def test_benchmark(spark, docs, empty):
     long = TEXTS[8].split()
     items = [(1, " ".join(long[100:130])), (2, TEXTS[12].upper()), (3, "one two THREE"), (4, None), (5, "..."), (12, "hello world")]

@@ -13,8 +13,9 @@ two are indexed for both sides), which keeps the pairs in proportion to the pref
 Equal sets are one class from the start. Entries of the index with few classes give all pairs;
 those with many give pairs with one class of theirs. Candidates are verified on whole sets in
 three rounds: first one partner for each class, then the other pairs that still lie in
-different components, then such pairs of the large entries: of each entry first those that
-would connect something new, then all that are left. Linking within a component
+different components, then such pairs of the large entries, which are cut into blocks
+and compared block by block in tasks of their own: of each two blocks first those that would connect
+something new, then all that are left. Linking within a component
 changes nothing, so the components are exact without the pairs of a large group of copies.
 A sketch of parities as long as the set asks for, which bounds from below in how many tokens two sets differ, drops most
 pairs that cannot link before any text is fetched.
@@ -30,6 +31,8 @@ not looked at, and columns of the table with clashing names do no harm.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,6 +47,8 @@ NO_ID = -(2**63)
 #: Frequent tokens that go to every worker: the bound of what is broadcast. More would only lengthen the index.
 MOST_FREQUENT, LEAST_COUNT = 500_000, 32
 FEW = 8
+#: Classes of a large entry that travel in one row, and that one block of it holds when pairs across are looked for.
+RUN, TILE = 4096, 2048
 BLOCK_BYTES = 1_500_000
 LEAST_BITS, BITS_PER_TOKEN = 256, 4
 _ENTRY = np.dtype([("sig", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("hot", "<u4")])
@@ -140,6 +145,35 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def tiled(entries: DataFrame, percent: int) -> DataFrame:
+    """id, cls, n, root, tile, side: entries (id, cls, n, root, size) dealt out to the tiles in which they are compared.
+
+    An entry of up to TILE classes is one tile. A larger one is cut into bands of sizes, so that sets that can link are of one
+    band or of two that follow each other, and bands into blocks by hash. Every two blocks of such bands have a tile, with a
+    side each, and every block has one of its own (side 2): two classes that can link meet in one tile.
+    """
+    step = math.log(100 / percent) * (1 + 1e-9)
+    keys = ["id", "cls", "n", "root"]
+    many = entries.filter(F.col("size") > TILE).withColumn("band", F.floor(F.log("n") / step).cast("int"))
+    bands = many.groupBy("id", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
+    for by, name in ((0, "own"), (1, "above"), (-1, "below")):
+        many = many.join(bands.select("id", (F.col("band") - by).alias("band"), F.col("blocks").alias(name)), ["id", "band"], "left")
+    band, block = F.col("band"), F.pmod(F.xxhash64("cls"), F.col("own")).cast("int")
+
+    def meets(blocks: str, tile):
+        n = F.coalesce(blocks, F.lit(0))
+        return F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), tile)
+
+    def place(side, *tile):
+        return F.struct(F.xxhash64(*tile).alias("tile"), F.lit(side).cast("int").alias("side"))
+
+    own = meets("own", lambda t: place(F.when(t == block, 2).when(t < block, 1).otherwise(0), band, F.least(t, block), band, F.greatest(t, block)))
+    above = meets("above", lambda t: place(0, band, block, band + 1, t))
+    below = meets("below", lambda t: place(1, band - 1, t, band, block))
+    many = many.select(*keys, F.inline(F.concat(own, above, below)))
+    return entries.filter(F.col("size") <= TILE).select(*keys, F.lit(0).cast("long").alias("tile"), F.lit(2).alias("side")).unionByName(many)
+
+
 def packed(entries: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
@@ -235,17 +269,17 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
                 entries = np.concatenate(parts)
                 yield packed(entries, spread(entries["sig"], buckets))
 
-    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("run", pa.binary())])
+    pair = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("id", pa.int64()), ("part", pa.int64()), ("run", pa.binary())])
 
     def candidates(batches):
-        """Pairs of classes with sizes that allow a link; large entries give pairs with one class, and their classes as a run."""
+        """Pairs of classes with sizes that allow a link; large entries give pairs with one class, and their classes in runs."""
         for entries in grouped(batches, _ENTRY):
             entries = entries[np.lexsort((entries["cls"], entries["n"], entries["sig"]))]
             keep = np.insert((entries["sig"][1:] != entries["sig"][:-1]) | (entries["cls"][1:] != entries["cls"][:-1]), 0, True)
             entries = entries[keep]
             cuts = np.flatnonzero(np.insert(entries["sig"][1:] != entries["sig"][:-1], 0, True))
             sizes = np.diff(np.append(cuts, len(entries)))
-            left, right, runs = [], [], {}
+            left, right, large = [], [], {}
             for size in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():
                 i, j = np.triu_indices(size, 1)
                 at = cuts[sizes == size][:, None]
@@ -257,8 +291,8 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
                 others = np.setdiff1d(np.arange(a, a + size), [middle])
                 left.append(np.full(len(others), middle))
                 right.append(others)
-                run = np.stack([entries["cls"][a : a + size], n], axis=1).tobytes()
-                runs[xxhash.xxh3_128_digest(run)] = run
+                run = np.stack([entries["cls"][a : a + size], n], axis=1)
+                large[xxhash.xxh3_64_intdigest(run.tobytes()) - 2**63] = (a, size)
             if not left:
                 continue
             i, j = np.concatenate(left), np.concatenate(right)
@@ -270,11 +304,14 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
             a, b = a[order], b[order]
             once = np.insert((a[1:] != a[:-1]) | (b[1:] != b[:-1]), 0, True) if len(a) else np.zeros(0, bool)
             a, b = a[once], b[once]
-            yield rows(pair, {"a": a, "b": b, "run": [None] * len(a)})
-            if runs:
-                yield rows(pair, {"a": [None] * len(runs), "b": [None] * len(runs), "run": list(runs.values())})
+            none = [None] * len(a)
+            yield rows(pair, {"a": a, "b": b, "id": none, "part": none, "run": none})
+            for name, (a, size) in large.items():
+                runs = [np.stack([entries["cls"][x : min(x + RUN, a + size)], entries["n"][x : min(x + RUN, a + size)].astype(np.int64)], axis=1).tobytes() for x in range(a, a + size, RUN)]
+                none = [None] * len(runs)
+                yield rows(pair, {"a": none, "b": none, "id": [name] * len(runs), "part": range(len(runs)), "run": runs})
 
-    found = stored(deal(texts.mapInArrow(index, message)).mapInArrow(candidates, "a long, b long, run binary"), "candidates")
+    found = stored(deal(texts.mapInArrow(index, message)).mapInArrow(candidates, "a long, b long, id long, part long, run binary"), "candidates")
 
     def plausible(batches):
         for batch in batches:
@@ -289,7 +326,7 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
             if keep.any():
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    runs = found.filter("run is not null").select("run").distinct().withColumn("id", F.xxhash64("run"))
+    runs = found.filter("run is not null").select("id", "part", "run").dropDuplicates(["id", "part"])
 
     def open_run(batches):
         schema = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
@@ -354,12 +391,12 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
     two = components(edges(one).unionByName(verified(stored(apart(pairs, one, first_pairs), "pairs-apart"))))
 
     def across(batches, forest):
-        """Pairs of classes of one large entry that lie in different components; of the entries that two classes share, the least gives the pair. forest: each entry gives only pairs that would connect what none of its earlier pairs does."""
+        """Pairs of classes of one tile of a large entry that lie in different components; of the entries that two classes share, the least gives the pair. forest: each tile gives only pairs that would connect what none of its earlier pairs does."""
         schema = pa.schema([("id", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-        def of(name, cls, n, group, sketch, before):
+        def of(name, cls, n, group, side, sketch, before):
             order = np.argsort(n, kind="stable")
-            cls, n, group, sketch, before = cls[order], n[order], group[order].copy(), sketch[order], before[order]
+            cls, n, group, side, sketch, before = cls[order], n[order], group[order].copy(), side[order], sketch[order], before[order]
             length = np.fromiter(map(len, sketch), np.int64, len(sketch))
             for size in np.unique(length).tolist():
                 # sets of this length of sketch against those of the same and of twice the length, which follow them
@@ -368,7 +405,7 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
                 if end > middle:
                     bits = np.concatenate([bits, *(folded(as_words([x]), size // 8) for x in sketch[middle:end].tolist())])
                 for i in range(start, middle):
-                    j = np.flatnonzero(group[i + 1 : end] != group[i]) + i + 1
+                    j = np.flatnonzero((group[i + 1 : end] != group[i]) & ((side[i + 1 : end] != side[i]) | (side[i] == 2))) + i + 1
                     j = j[may_link(n[j], n[i], bits[j - start], bits[i - start], percent)] if len(j) else j
                     found = []
                     for x in j.tolist():
@@ -385,30 +422,31 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
         for batch in batches:
             if not len(batch):
                 continue
-            ids, entries = batch.column("id").to_numpy(), batch.column("entries")
+            ids, tiles, entries = batch.column("id").to_numpy(), batch.column("tile").to_numpy(), batch.column("entries")
             ends, values = entries.offsets.to_numpy(), entries.values.to_numpy()
             before = np.empty(len(batch), object)
             before[:] = [{y for y in values[a:b].tolist() if y < x} for a, b, x in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.tolist())]
-            x = [*(batch.column(c).to_numpy() for c in ("cls", "n", "root")), np.array(batch.column("sketch").to_pylist(), object), before]
-            cuts = np.flatnonzero(np.insert(ids[1:] != ids[:-1], 0, True)).tolist()
+            x = [*(batch.column(c).to_numpy() for c in ("cls", "n", "root", "side")), np.array(batch.column("sketch").to_pylist(), object), before]
+            cuts = np.flatnonzero(np.insert((ids[1:] != ids[:-1]) | (tiles[1:] != tiles[:-1]), 0, True)).tolist()
             for a, b in zip(cuts, [*cuts[1:], len(batch)]):
-                if ids[a] != now and parts:
-                    yield from of(now, *(np.concatenate(y) for y in zip(*parts)))
+                if (ids[a], tiles[a]) != now and parts:
+                    yield from of(now[0], *(np.concatenate(y) for y in zip(*parts)))
                     parts = []
-                now = ids[a]
+                now = ids[a], tiles[a]
                 parts.append([y[a:b] for y in x])
         if parts:
-            yield from of(now, *(np.concatenate(y) for y in zip(*parts)))
+            yield from of(now[0], *(np.concatenate(y) for y in zip(*parts)))
 
     def pairs_across(some: DataFrame, forest: bool) -> DataFrame:
         """some: entries (id, cls, n, root)."""
-        torn = some.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("id")
-        some = some.join(torn, "id", "left_semi")
+        torn = some.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y").select("id", "size")
+        some = some.join(torn, "id")
         if forest:
-            some = some.join(sketched.select("cls", "sketch"), "cls").withColumn("entries", F.expr("cast(array() as array<bigint>)"))
+            more = sketched.select("cls", "sketch", F.expr("cast(array() as array<bigint>)").alias("entries"))
         else:  # a class has no more entries than signatures
-            some = some.join(some.groupBy("cls").agg(F.collect_list("id").alias("entries")).join(sketched.select("cls", "sketch"), "cls"), "cls")
-        some = some.select("id", "cls", "n", "root", "sketch", "entries").repartition(shuffle, "id").sortWithinPartitions("id")
+            more = some.groupBy("cls").agg(F.collect_list("id").alias("entries")).join(sketched.select("cls", "sketch"), "cls")
+        some = tiled(some, percent).join(more, "cls")
+        some = some.select("id", "cls", "n", "root", "tile", "side", "sketch", "entries").repartition(shuffle, "id", "tile").sortWithinPartitions("id", "tile")
         return stored(some.mapInArrow(lambda x: across(x, forest), "id long, a long, b long"), "pairs-across")
 
     def rooted(some: DataFrame, found: DataFrame) -> DataFrame:
