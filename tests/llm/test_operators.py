@@ -88,7 +88,7 @@ def test_jaccard(docs, empty, monkeypatch, k, percent, least):
     monkeypatch.setattr(ngram_join, "LEAST_COUNT", least)
     monkeypatch.setattr(components, "ONE_TASK", 0 if least == 2 else components.ONE_TASK)
     if least == 2:  # large entries are cut into blocks
-        for name, x in {"FEW": 2, "RUN": 3, "TILE": 4}.items():
+        for name, x in {"FEW": 2, "RUN": 3, "TILE": 4, "MOST_GROUPS": 3}.items():
             monkeypatch.setattr(ngram_join, name, x)
     sets = {}
     for i, t in zip(IDS, TEXTS):

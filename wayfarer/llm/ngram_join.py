@@ -49,6 +49,8 @@ MOST_FREQUENT, LEAST_COUNT = 500_000, 32
 FEW = 8
 #: Classes of a large entry that travel in one row, and that one block of it holds when pairs across are looked for.
 RUN, TILE = 4096, 2048
+#: Groups that go to every worker, those of the most members: the bound of what is broadcast. Smaller ones meet their members by a shuffle.
+MOST_GROUPS = 100_000
 BLOCK_BYTES = 1_500_000
 LEAST_BITS, BITS_PER_TOKEN = 256, 4
 _ENTRY = np.dtype([("sig", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("hot", "<u4")])
@@ -202,7 +204,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_shingles and component_id of every row: sets link when 100 * intersection >= percent * union."""
     placed = _placed(docs, id_col, text_col, k, percent, [])
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
-    some = placed.filter("root is not null").join(least, "root").select("doc", "n", "component")
+    some = _met(placed, stored(least, "groups")).select("doc", "n", "component")
     out = some.unionByName(placed.filter("root is null").select("doc", "n", F.col("doc").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
@@ -213,6 +215,14 @@ def _key(id_col: str, text_col: str) -> dict:
     return {"doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "content": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
+def _met(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """placed with its group's columns; rows without a group go. A group of a third of all rows isn't shuffled: groups of `least` members or more are broadcast."""
+    least = least_count(groups, "members", MOST_GROUPS)
+    large = groups.filter(F.col("members") >= least)
+    small = placed.join(F.broadcast(large.select("root")), "root", "left_anti").join(groups.filter(F.col("members") < least), "root")
+    return placed.join(F.broadcast(large), "root").unionByName(small)
+
+
 def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, more: list[str]) -> DataFrame:
     """doc, n, root and more (content or nothing) of every row; root is null for an empty set."""
     return settled(docs.sparkSession, lambda: _place(docs, id_col, text_col, k, percent, more), "placed")
@@ -468,7 +478,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = new_names([*docs.columns, "doc", "content", "n", "root", "keep", "members", "stays"], "doc", "content")
     placed = _placed(docs, id_col, text_col, k, percent, ["content"]).filter("root is not null").withColumnsRenamed(dict(zip(("doc", "content"), key)))
     kept = stored(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keep"), F.count("*").alias("members")).filter("members > 1"), "near-groups")
-    met = placed.join(kept, "root").withColumn("stays", F.struct(*key) == F.col("keep"))
+    met = _met(placed, kept).withColumn("stays", F.struct(*key) == F.col("keep"))
     gone = met.filter("not stays").select(*key).distinct()
     again = stored(met.filter("stays").groupBy(*key).count().filter("count > 1").select(*key), "near-again")
     rest = docs.withColumns(dict(zip(key, _key(id_col, text_col).values()))).join(gone, key, "left_anti")
