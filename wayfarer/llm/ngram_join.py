@@ -204,7 +204,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_shingles and component_id of every row: sets link when 100 * intersection >= percent * union."""
     placed = _placed(docs, id_col, text_col, k, percent, [])
     least = placed.filter("root is not null").groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
-    some = _met(placed, stored(least, "groups")).select("doc", "n", "component")
+    some = _met(placed, stored(least, "groups"), "root", "members").select("doc", "n", "component")
     out = some.unionByName(placed.filter("root is null").select("doc", "n", F.col("doc").alias("component")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return out.select(real("doc").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
@@ -215,12 +215,12 @@ def _key(id_col: str, text_col: str) -> dict:
     return {"doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "content": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
 
 
-def _met(placed: DataFrame, groups: DataFrame) -> DataFrame:
-    """placed with its group's columns; rows without a group go. A group of a third of all rows isn't shuffled: groups of `least` members or more are broadcast."""
-    least = least_count(groups, "members", MOST_GROUPS)
-    large = groups.filter(F.col("members") >= least)
-    small = placed.join(F.broadcast(large.select("root")), "root", "left_anti").join(groups.filter(F.col("members") < least), "root")
-    return placed.join(F.broadcast(large), "root").unionByName(small)
+def _met(some: DataFrame, groups: DataFrame, key: str, members: str) -> DataFrame:
+    """some with the columns of its groups; rows without a group go. The groups of the most members are broadcast, so that a group of a third of all rows isn't shuffled to one task."""
+    least = least_count(groups, members, MOST_GROUPS)
+    large = groups.filter(F.col(members) >= least)
+    small = some.join(F.broadcast(large.select(key)), key, "left_anti").join(groups.filter(F.col(members) < least), key)
+    return some.join(F.broadcast(large), key).unionByName(small)
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, more: list[str]) -> DataFrame:
@@ -450,7 +450,7 @@ def _place(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, mo
     def pairs_across(some: DataFrame, forest: bool) -> DataFrame:
         """some: entries (id, cls, n, root)."""
         torn = some.groupBy("id").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")).filter("x <> y").select("id", "size")
-        some = some.join(torn, "id")
+        some = _met(some, stored(torn, "torn-entries"), "id", "size")
         if forest:
             more = sketched.select("cls", "sketch", F.expr("cast(array() as array<bigint>)").alias("entries"))
         else:  # a class has no more entries than signatures
@@ -478,7 +478,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = new_names([*docs.columns, "doc", "content", "n", "root", "keep", "members", "stays"], "doc", "content")
     placed = _placed(docs, id_col, text_col, k, percent, ["content"]).filter("root is not null").withColumnsRenamed(dict(zip(("doc", "content"), key)))
     kept = stored(placed.groupBy("root").agg(F.min(F.struct(*key)).alias("keep"), F.count("*").alias("members")).filter("members > 1"), "near-groups")
-    met = _met(placed, kept).withColumn("stays", F.struct(*key) == F.col("keep"))
+    met = _met(placed, kept, "root", "members").withColumn("stays", F.struct(*key) == F.col("keep"))
     gone = met.filter("not stays").select(*key).distinct()
     again = stored(met.filter("stays").groupBy(*key).count().filter("count > 1").select(*key), "near-again")
     rest = docs.withColumns(dict(zip(key, _key(id_col, text_col).values()))).join(gone, key, "left_anti")
