@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.sql import functions as F
 
+from wayfarer import storage
 from wayfarer.operators import geometry, graph, nearest, ways
 from wayfarer.sources import catalog
 
@@ -73,6 +77,36 @@ def test_nearest_is_exact(spark):
     assert round(got[2].distance, 6) == 8.0 and {r.point_id for r in nearest.nearest(pts, segs, 100.0).collect()} == {1, 2, 5}
 
 
+def test_nearest_sends_no_table_to_the_driver_and_is_exact_at_every_reach(spark, monkeypatch):
+    """Points inside, beside and far from dense segments, with ties and repeats, against brute force; no step may broadcast or sort the pairs of points and segments."""
+    rnd = random.Random(5)
+    roads = [(k, 4.0, float(a), float(b), float(a + rnd.randint(-30, 30)), float(b + rnd.randint(-30, 30))) for k in range(300) for a, b in [(rnd.randint(0, 200), rnd.randint(0, 200))]]
+    roads += [(1000 + k, *r[1:]) for k, r in enumerate(roads[:60])] + [(900, 4.0, -700.0, -700.0, -700.0, -700.0)]
+    places = [(k, float(rnd.randint(*span)), float(rnd.randint(*span))) for k, span in enumerate([(0, 200)] * 80 + [(-60, 260)] * 60 + [(-1100, 1100)] * 120)]
+    steps, stored = [], storage.stored
+
+    def seen(df, name):
+        steps.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    for module in (storage, nearest):
+        monkeypatch.setattr(module, "stored", seen)
+    segs, pts = spark.createDataFrame(roads, "segment_id long, width double, ax double, az double, bx double, bz double"), spark.createDataFrame(places, "point_id long, px double, pz double")
+
+    def distance(p, s):
+        dx, dz = s[4] - s[2], s[5] - s[3]
+        t = max(0.0, min(1.0, ((p[1] - s[2]) * dx + (p[2] - s[3]) * dz) / (dx * dx + dz * dz))) if dx or dz else 0.0
+        x, z = p[1] - (s[2] + dx * t), p[2] - (s[3] + dz * t)
+        return math.sqrt(x * x + z * z)
+
+    for radius in (800.0, 100.0, 7.0):
+        out = nearest.nearest(pts, segs, radius)
+        best = {p[0]: min((distance(p, s), s[0]) for s in roads) for p in places}
+        assert {r.point_id: (r.distance, r.segment_id) for r in out.collect()} == {k: v for k, v in best.items() if v[0] <= radius}
+        steps.append(out._jdf.queryExecution().executedPlan().toString())
+    assert not any("Broadcast" in s for s in steps) and any("SortMergeJoin" in s for s in steps)
+
+
 def test_only_changed_chunks_are_written(spark, tmp_path):
     path, make = str(tmp_path / "world"), lambda v: spark.createDataFrame([(0, 0, 1, "a"), (0, 1, 2, "b"), (0, 1, 3, v)], "chunk_i int, chunk_j int, id long, v string")
     assert catalog.write_if_changed(make("c"), path).count() == 2
