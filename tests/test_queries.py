@@ -30,3 +30,8 @@ def rows(pdf):
 def test_against_sql(spark, con, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), con.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
+def test_reset_pose_sends_no_table_to_the_driver(spark):
+    """Its plan reads stored results; the estimates of small tables don't make it broadcast what comes of them."""
+    assert "Broadcast" not in entry.queries()["reset_pose"](spark, SF)._jdf.queryExecution().executedPlan().toString()
