@@ -35,3 +35,13 @@ def test_against_sql(spark, con, name):
 def test_reset_pose_sends_no_table_to_the_driver(spark):
     """Its plan reads stored results; the estimates of small tables don't make it broadcast what comes of them."""
     assert "Broadcast" not in entry.queries()["reset_pose"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reset_pose_has_the_driver_plan_few_queries(spark):
+    """The driver's memory holds plans and their code: four stages take a query for each table that is read twice, one for each result, and one to see whether any point is left."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = store.executionsCount()
+    assert entry.queries()["reset_pose"](spark, SF).count() > 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert store.executionsCount() - before <= 18

@@ -4,7 +4,8 @@ A stage knows the segments by small cells and the points by blocks of such cells
 wide as the reach, so nine blocks hold all that a point may find. The occupied cells alone bound how
 far the nearest segment can lie; the segments of the cells within that bound give the distance, and
 those at that very distance the least segment. A point that finds none goes on to the next stage.
-Each step is stored, so no plan holds another stage's, and no table is sent to the driver.
+What is read more than once is stored, and nothing else: no plan holds another stage's, the driver
+plans few of them, and no table is sent to it.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..storage import collected, remove, settled, stored
+from ..storage import collected, remove, stored
 
 SHOULDER = 1.5
 #: Cells to a block's side at most; more than rounding can move a point, in metres.
@@ -61,24 +62,26 @@ def _cells(points: DataFrame, occupied: DataFrame | None, cell: float, block: in
     return near.filter(geo.hypot(_gap("px", "ci", cell), _gap("pz", "cj", cell)) <= F.col("limit") + SLACK)
 
 
-def _stage(points: DataFrame, segments: DataFrame, reach: float, cell: float) -> DataFrame:
-    """The results of those points that find a segment within reach."""
+def _stage(points: DataFrame, segments: DataFrame, reach: float, cell: float) -> tuple[DataFrame, DataFrame]:
+    """points, stored, with the distance of the nearest segment within reach as limit, null where there is none; the results of those that have one."""
     block, known = math.ceil(reach / cell), covering(segments, cell)
     limited, occupied = points.withColumn("limit", F.lit(float(reach))), None
     if block > 1:
         occupied = known.groupBy("ci", "cj").agg(F.max("holds").alias("holds"))
         occupied = stored(occupied.withColumns({"gi": F.floor(F.col("ci") / block).cast("int"), "gj": F.floor(F.col("cj") / block).cast("int")}), "cells")
         most = F.min(F.when(F.col("holds"), geo.hypot(_across("px", "ci", cell), _across("pz", "cj", cell))))
-        bound = stored(_cells(limited, occupied, cell, block).groupBy("point_id").agg(F.least(F.lit(float(reach)), most).alias("limit")), "bound")
+        bound = _cells(limited, occupied, cell, block).groupBy("point_id").agg(F.least(F.lit(float(reach)), most).alias("limit"))
         limited, occupied = points.join(bound.hint("merge"), "point_id"), occupied.drop("holds")
     known = known.drop("holds")
     d = geo.point_to_segment(*(F.col(c) for c in ("px", "pz", "ax", "az", "bx", "bz")))
     met = lambda of: _cells(of, occupied, cell, block).join(known.hint("merge"), ["ci", "cj"]).withColumn("d", d)
     # the distance by itself first: one number a point, so that pairs are neither sorted nor spilled
-    best = stored(met(limited).filter(F.col("d.distance") <= reach).groupBy("point_id").agg(F.min("d.distance").alias("limit")), "best")
-    at_best = met(points.join(best.hint("merge"), "point_id")).filter(F.col("d.distance") <= F.col("limit"))
+    best = met(limited).filter(F.col("d.distance") <= reach).groupBy("point_id").agg(F.min("d.distance").alias("limit"))
+    reached = stored(points.join(best.hint("merge"), "point_id", "left"), "reached")
+    at_best = met(reached.filter("limit is not null")).filter(F.col("d.distance") <= F.col("limit"))
     s = at_best.groupBy("point_id").agg(F.min_by(F.struct("segment_id", "width", "d", "ax", "az", "bx", "bz"), "segment_id").alias("s"))
-    return s.select("point_id", "s.segment_id", "s.d.distance", "s.d.x", "s.d.z", geo.heading(F.col("s.ax"), F.col("s.az"), F.col("s.bx"), F.col("s.bz")).alias("heading"), (F.col("s.d.distance") <= F.col("s.width") / 2 + SHOULDER).alias("on_road"))
+    return reached, s.select("point_id", "s.segment_id", "s.d.distance", "s.d.x", "s.d.z", geo.heading(F.col("s.ax"), F.col("s.az"), F.col("s.bx"), F.col("s.bz")).alias("heading"), (F.col("s.d.distance") <= F.col("s.width") / 2 + SHOULDER).alias("on_road"))
+
 
 def nearest(points: DataFrame, segments: DataFrame, radius: float, stages: tuple[float, ...] = (10.0, 40.0, 160.0, 800.0)) -> DataFrame:
     """point_id, segment_id, distance, x, z, heading, on_road of the nearest segment within radius; ties go to the least segment_id.
@@ -88,14 +91,13 @@ def nearest(points: DataFrame, segments: DataFrame, radius: float, stages: tuple
     spark, segments = points.sparkSession, segments.select("segment_id", "width", "ax", "az", "bx", "bz")
     out, left, scratch, reaches = None, points.select("point_id", "px", "pz"), [], [*(s for s in stages if s < radius), radius]
     for reach in reaches:
-        found = settled(spark, lambda: _stage(left, segments, reach, max(reaches[0], reach / FINE)), "nearest")  # noqa: B023
+        with collected() as made:
+            reached, found = _stage(left, segments, reach, max(reaches[0], reach / FINE))
+        found = stored(found, "nearest")
         out = found if out is None else out.unionByName(found)
-        if reach < radius:
-            with collected() as made:
-                left = stored(left.join(found.select("point_id").hint("merge"), "point_id", "left_anti"), "left")
-            remove(spark, scratch)
-            scratch = made
-            if left.isEmpty():
-                break
+        remove(spark, [*scratch, *made[:-1]])
+        left, scratch = reached.filter("limit is null").drop("limit"), made[-1:]  # reached is the last that the stage stores
+        if reach < radius and left.isEmpty():
+            break
     remove(spark, scratch)
     return out
